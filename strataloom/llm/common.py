@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -75,19 +76,27 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-class _Hashes(dict):
-    """64-bit hashes of words; cleared when it grows past a fixed number of entries."""
+class Kept(dict):
+    """Results of a function by key, in two generations of at most `limit` entries: when the newer one is full it
+    becomes the older, so that what is used often stays. Long keys are never kept."""
 
-    LIMIT = 400_000
+    def __init__(self, make: Callable, limit: int, longest: int = 64):
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        self[key] = value
         return value
 
 
-WORD_HASHES = _Hashes()
+WORD_HASHES = Kept(xxhash.xxh3_64_intdigest, 200_000)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

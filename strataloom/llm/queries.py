@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, mixing, ngram_join, packing, quality_rules, token_counts, warc
+from . import chat_format, exact_dedup, language_id, mixing, ngram_join, packing, quality_lm, quality_rules, token_counts, warc
 from .common import new_folder
 
 
@@ -85,6 +85,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op5_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return quality_lm.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_rules(table(spark, sf_dir, "documents"))
 
@@ -137,5 +142,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", token_counts.over_limit(F.col("n_tokens")).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_ngram_join, op4_packing, op6_quality_rules, op7_language_id, op8_chat_format, op9_warc, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_ngram_join, op4_packing, op5_quality_lm, op6_quality_rules, op7_language_id, op8_chat_format, op9_warc, op10_token_counts)}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op8_chat_format": OP8_SQL, "op9_warc": OP9_SQL}
