@@ -26,7 +26,8 @@ def digest(text: Column) -> Column:
 def frequent_digests(digests: DataFrame, column: str, heavy: int = 256, tracked: int = 1024, groups: int = 64) -> DataFrame:
     """Candidates for the heavy hitters of `column`: at most `heavy` rows. Sketches merge in `groups` tasks before one."""
     part = digests.groupBy((F.spark_partition_id() % groups).alias("g")).agg(F.expr(f"approx_top_k_accumulate(`{column}`, {tracked})").alias("s"))
-    whole = part.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
+    # By a key, though there is one group: a combining task without any sketch would fail.
+    whole = part.groupBy((F.col("g") < 0).alias("one")).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
     items = whole.select(F.explode(F.expr(f"approx_top_k_estimate(s, {heavy})")).alias("x"))
     return items.filter("x.count > 1").select(F.col("x.item").alias(column))
 
