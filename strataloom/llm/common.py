@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -96,6 +98,18 @@ class Kept(dict):
         return value
 
 
+@contextlib.contextmanager
+def no_collector() -> Iterator[None]:
+    """Python's cycle collector rests while a task fills caches of plain bytes, which it would walk again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 WORD_HASHES = Kept(xxhash.xxh3_64_intdigest, 200_000)
 
 
