@@ -71,7 +71,7 @@ def test_rules(spark):
     assert [r.path for r in rules.duplicate_ids(e, rels(spark, ("k", "a", "a"))).orderBy("path").collect()] == ["elements[002].id", "relationships[000].id"]
     attributes = rules.attribute_violations(e).collect()
     assert sum(r.severity == "warning" for r in attributes) == 1 and any("backgroundColor" in r.message for r in attributes)
-    assert rules.children_of_external(e).count() == 2
+    assert rules.children_of_external(e).count() == 3
 
 
 def test_edits(spark):
