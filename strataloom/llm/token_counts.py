@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import ship
+from .common import Kept, no_collector, ship
 
 SPACE = "\t-\r \x85\xa0  -     　"
 _WORDS = regex.compile(rf"(?<! )(?:'s|'t|'re|'ve|'m|'ll|'d)|[{SPACE}]+|\p{{L}}+|\p{{N}}+|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -49,7 +49,7 @@ def _byte_alphabet() -> dict[str, int]:
 class PrefixCounter:
     """Prefix deltas of byte-level BPE with the contraction, letter, number, other, white-space cutting rule."""
 
-    PIECES = 300_000
+    PIECES = 250_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -76,10 +76,10 @@ class PrefixCounter:
             if len(t) > 2:
                 tails.setdefault(t[-3:], {len(t)} | ({2} if t[-2:] in self.vocab else set())).add(len(t))
         self.tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs = Kept(lambda pair: self.apart(*pair), 300_000)
         self.states: dict[bytes, tuple[list[bytes], list[int]]] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        self.pieces = Kept(self.make_piece, self.PIECES)
+        self.units = Kept(self.unit, self.PIECES)
 
     def apart(self, p: bytes, t: bytes, before: int = 1 << 60) -> bool:
         """Whether no merge that comes before the given one joins something of p's end and t's beginning.
@@ -100,19 +100,11 @@ class PrefixCounter:
             else:  # of equal merges the one further left comes first
                 before, t = b[0] + 1, b[1]
 
-    def separate(self, p: bytes, t: bytes) -> bool:
-        known = self.pairs.get((p, t))
-        if known is None:
-            if len(self.pairs) >= 500_000:
-                self.pairs.clear()
-            known = self.pairs[p, t] = self.apart(p, t)
-        return known
-
     def piece(self, text: str) -> bytes:
         """Deltas at each code point of one pre-token, by the recurrence."""
         data = text.encode("utf-8", "surrogatepass")
         n = len(data)
-        vocab, tails, separate, states = self.vocab, self.tails, self.separate, self.states
+        vocab, tails, pairs, states = self.vocab, self.tails, self.pairs, self.states
         at = n - n % 3
         while at and (state := states.get(data[:at])) is None:
             at -= 3
@@ -122,7 +114,7 @@ class PrefixCounter:
             at, last, count = 1, [b"", data[:1]], [0, 1]
         for i in range(at + 1, n + 1):
             for k in tails.get(data[i - 3 : i] if i > 2 else b"", _TWO):
-                if k <= i and (t := vocab.get(data[i - k : i])) is not None and (k == i or separate(last[i - k], t)):
+                if k <= i and (t := vocab.get(data[i - k : i])) is not None and (k == i or pairs[last[i - k], t]):
                     last.append(t)
                     count.append(count[i - k] + 1)
                     break
@@ -138,16 +130,8 @@ class PrefixCounter:
             count = [0, *(count[i] for i in range(1, n + 1) if i == n or data[i] & 0xC0 != 0x80)]
         return _steps(count)
 
-    def deltas(self, text: str) -> bytes:
-        """Of a pre-token; kept for short ones."""
-        known = self.pieces.get(text)
-        if known is None:
-            known = self.piece(text) if text not in _CONTRACTIONS else self.contraction(text)
-            if len(text) <= 64:
-                if len(self.pieces) >= self.PIECES:
-                    self.pieces.clear()
-                self.pieces[text] = known
-        return known
+    def make_piece(self, text: str) -> bytes:
+        return self.contraction(text) if text in _CONTRACTIONS else self.piece(text)
 
     def plain(self, text: str) -> bytes:
         """Deltas of a text without special tokens."""
@@ -158,19 +142,19 @@ class PrefixCounter:
                 space = word
                 continue
             if space == " ":
-                out.append(self.deltas(" " + word))
+                out.append(self.pieces[" " + word])
             elif not space:
-                out.append(self.deltas(word))
+                out.append(self.pieces[word])
             else:
                 # A cut inside the white space keeps it whole; before anything else its last character stands
                 # alone or, if it is a space, joins the word.
-                joined = self.deltas(" " + word)[1:] if space[-1] == " " else self.deltas(word)
+                joined = self.pieces[" " + word][1:] if space[-1] == " " else self.pieces[word]
                 first = joined[0] if joined[0] < 128 else joined[0] - 256
                 base = self.total(space[:-1]) + self.total(space[-1]) - self.total(space)
-                out += (self.deltas(space), _byte(base + first), joined[1:])
+                out += (self.pieces[space], _byte(base + first), joined[1:])
             space = ""
         if space:
-            out.append(self.deltas(space))
+            out.append(self.pieces[space])
         return b"".join(out)
 
     def contraction(self, word: str) -> bytes:
@@ -179,12 +163,12 @@ class PrefixCounter:
         return _steps([0, tick, *(tick + sum_of(self.piece(word[1:k])) for k in range(2, len(word))), sum_of(self.piece(word))])
 
     def total(self, word: str) -> int:
-        return sum_of(self.deltas(word)) if word else 0
+        return sum_of(self.pieces[word]) if word else 0
 
     def unit(self, text: str) -> bytes:
         """Deltas of white space and what follows it."""
         if text[0] == " " and text.isascii() and text[1:].isalpha():
-            return self.deltas(text)
+            return self.pieces[text]
         if self.special_pattern and (found := self.special_pattern.search(text)):
             # Up to the end of the special string it is plain text; then one token stands for it.
             whole, before = self.plain(text[: found.end()]), self.plain(text[: found.start()])
@@ -202,17 +186,7 @@ class PrefixCounter:
             parts = [x if x[:1] == "\n" else " " + x for x in rest]
             if head:
                 parts.insert(0, head)
-        units, out = self.units, []
-        for x in parts:
-            known = units.get(x)
-            if known is None:
-                known = self.unit(x)
-                if len(x) <= 64:
-                    if len(units) >= self.PIECES:
-                        units.clear()
-                    units[x] = known
-            out.append(known)
-        return b"".join(out)
+        return b"".join(map(self.units.__getitem__, parts))
 
 
 def _byte(step: int) -> bytes:
@@ -269,12 +243,13 @@ def prefix_token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_
         count = counter(vocabulary)
         for batch in batches:
             ids, n_bytes, n_tokens, stored = batch.column(0), [], [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                deltas = count(text)
-                n_bytes.append(len(text.encode("utf-8", "surrogatepass")))
-                n_tokens.append(sum_of(deltas))
-                stored.append(zlib.compress(deltas, 1))
+            with no_collector():
+                for text in batch.column(1):
+                    text = text.as_py() or ""
+                    deltas = count(text)
+                    n_bytes.append(len(text.encode("utf-8", "surrogatepass")))
+                    n_tokens.append(sum_of(deltas))
+                    stored.append(zlib.compress(deltas, 1))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(stored, pa.binary())], ["doc_id", "n_bytes", "n_tokens", "prefix_counts"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
