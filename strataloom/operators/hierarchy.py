@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import shared_dir
+
 KEY = ["model_id", "id"]
 
 
@@ -36,6 +38,7 @@ def deep_closure(elements: DataFrame, max_doublings: int = 32) -> DataFrame:
     Each round joins the pairs found with themselves, so that depth d takes log2(d) rounds. On a cycle every member
     is its own ancestor at the cycle's length; the least depth of each pair is kept, so rounds end there too.
     """
+    shared_dir(elements.sparkSession)
     up = parents(elements).filter("parent_id IS NOT NULL")
     pairs = up.select("model_id", "id", F.col("parent_id").alias("anc"), F.lit(1).alias("depth")).checkpoint()
     before = pairs.count()
