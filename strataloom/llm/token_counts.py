@@ -49,7 +49,7 @@ def _byte_alphabet() -> dict[str, int]:
 class PrefixCounter:
     """Prefix deltas of byte-level BPE with the contraction, letter, number, other, white-space cutting rule."""
 
-    PIECES = 250_000
+    PIECES = 200_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -76,7 +76,7 @@ class PrefixCounter:
             if len(t) > 2:
                 tails.setdefault(t[-3:], {len(t)} | ({2} if t[-2:] in self.vocab else set())).add(len(t))
         self.tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
-        self.pairs = Kept(lambda pair: self.apart(*pair), 300_000)
+        self.pairs = Kept(lambda pair: self.apart(*pair), 200_000)
         self.states: dict[bytes, tuple[list[bytes], list[int]]] = {}
         self.pieces = Kept(self.make_piece, self.PIECES)
         self.units = Kept(self.unit, self.PIECES)
@@ -122,7 +122,7 @@ class PrefixCounter:
                 last.append(data[i - 1 : i])
                 count.append(count[i - 1] + 1)
         if n <= 64:
-            if len(states) >= 200_000:
+            if len(states) >= 120_000:
                 states.clear()
             for i in range(at - at % 3 + 3, n + 1, 3):
                 states[data[:i]] = last, count
