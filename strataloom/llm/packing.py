@@ -16,23 +16,24 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import ship, text_bytes
+from .common import Kept, no_collector, ship, text_bytes
 
+_PLAIN = re.compile(rb"([A-Za-z]+)([,.;:!?]*)")
 _SPLIT = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class WordIds:
     """Token ids of whole texts, as little-endian unsigned 32-bit ids, for a lower-casing vocabulary with word ends."""
 
-    ENTRIES = 300_000
+    WORDS, PARTS = 500_000, 100_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,42 +47,39 @@ class WordIds:
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in pattern
         self.model = self.tokenizer.model
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])).encode() or b"(?!)")
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.words = Kept(self.word, self.WORDS)
+        self.parts = Kept(self.part, self.PARTS)
 
     def encode(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def part(self, part: bytes) -> bytes:
-        known = self.parts.get(part)
-        if known is None:
-            known = np.asarray([t.id for t in self.model.tokenize(part.decode())], dtype="<u4").tobytes()
-            if len(self.parts) >= self.ENTRIES:
-                self.parts.clear()
-            self.parts[part] = known
-        return known
+        """Ids of a pre-token in lower-case ASCII, or of a word that isn't ASCII."""
+        if part.isascii():
+            return array("I", [t.id for t in self.model.tokenize(part.decode())]).tobytes()
+        return self.encode(part.decode("utf-8", "surrogatepass"))
 
     def word(self, word: bytes) -> bytes:
-        if word.isascii() and min(word) > 32 and max(word) < 127 and not self.special.search(word):
-            out = b"".join(map(self.part, _SPLIT.findall(word.lower())))
-        else:
-            out = self.encode(word.decode("utf-8", "surrogatepass"))
-        if len(word) <= 64:
-            if len(self.words) >= self.ENTRIES:
-                self.words.clear()
-            self.words[word] = out
-        return out
+        """Ids of what stands between white space."""
+        if plain := _PLAIN.fullmatch(word):  # letters, perhaps with marks behind them
+            letters, marks = plain.groups()
+            base = letters.lower()
+            ids = self.part(base) if base == word else self.words[base]
+            return ids + self.parts[marks] if marks else ids
+        if word.isascii():
+            if min(word) > 32 and max(word) < 127 and not self.special.search(word):
+                return b"".join(map(self.parts.__getitem__, _SPLIT.findall(word.lower())))
+        elif (core := word.rstrip(b",.;:!?")) != word and core.decode("utf-8", "surrogatepass").lower()[-1:].isalpha():
+            # A letter never joins the marks behind it, so that both have their ids for themselves.
+            return self.parts[core] + self.parts[word[len(core) :]]
+        return self.parts[word] if len(word) <= 64 and not word.isascii() else self.encode(word.decode("utf-8", "surrogatepass"))
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.by_word:
             return self.encode(text)
-        words, out = self.words, []
-        for w in text_bytes(text).split():
-            known = words.get(w)
-            out.append(self.word(w) if known is None else known)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, text_bytes(text).split()))
 
 
 _IDS: dict[str, WordIds] = {}
@@ -117,7 +115,7 @@ def pack(docs: DataFrame, vocabulary: str, *, max_length: int = 2048, end_id: in
     names = [f.name for f in PIECES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_ids(vocabulary), np.asarray([end_id], dtype="<u4").tobytes()
+        encode, end = word_ids(vocabulary), array("I", [end_id]).tobytes()
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(),) * 4 + (pa.int32(), pa.binary()))], names)
@@ -125,7 +123,8 @@ def pack(docs: DataFrame, vocabulary: str, *, max_length: int = 2048, end_id: in
         for batch in batches:
             rows, held = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
+                with no_collector():
+                    ids = encode(text.as_py()) + end
                 start, tokens = 0, len(ids) // 4
                 for n in piece_lengths(tokens, max_length):
                     rows.append((doc_id, start, n, tokens, n.bit_length() - 1, ids[4 * start : 4 * (start + n)]))
