@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import BITS, collect_bitmap, contains, positions
-from .common import Kept, mix, ship, shared_dir, written
+from .common import Kept, mix, no_collector, ship, shared_dir, written
 
 PAD = "\x02"
 
@@ -154,51 +154,60 @@ def split_features(features: DataFrame, head: int) -> tuple[dict[str, tuple[floa
     return table, features.filter(F.col("occ") < threshold)
 
 
+def suffix_sums(table: dict[str, tuple[float, float]]) -> dict[str, tuple[float, float]]:
+    """Gains and back-off weights of each n-gram and all its suffixes."""
+    sums: dict[str, tuple[float, float]] = {"": (0.0, 0.0)}
+    for g in sorted(table, key=len):
+        gain, backoff = sums.get(g[1:], (0.0, 0.0))
+        own, weight = table[g]
+        sums[g] = gain + own, backoff + weight
+    return sums
+
+
 class Scorer:
-    """Sums by word, from the head of the table; and which n-grams may be in its tail."""
-
-    def __init__(self, order: int, table: dict[str, tuple[float, float]], unknown: float, bitmap: np.ndarray | None):
-        self.order, self.table, self.unknown, self.bitmap = order, table, unknown, bitmap
-        self.words = Kept(self.word, 250_000)
-
-    def word(self, word: bytes) -> tuple[float, int, tuple[int, ...]]:
-        """Log-probability, characters predicted, hashes of what may be in the tail: backoffs of a context that
-        ends the word are never asked for."""
-        s, order, table = padded(word.decode("utf-8", "surrogatepass"), self.order), self.order, self.table
-        total, end, missing = 0.0, len(s) - 1, []
-        for i in range(order - 2, len(s)):
-            predicted = i > order - 2
-            if predicted:
-                total += self.unknown
-            for n in range(1, order + 1):
-                if i + 1 < n or (n == order and not predicted):
-                    break
+    """Sums by word, from the head of the table; and which n-grams may be in its tail.
+
+    Every suffix of an n-gram in the model is in it too, and is at least as frequent, so that a head that has an n-gram
+    has its suffixes. Sums over those are kept with each: the longest n-gram found settles a character."""
+
+    def __init__(self, order: int, sums: dict[str, tuple[float, float]], unknown: float, bitmap: bytes | None):
+        self.order, self.sums, self.unknown, self.bitmap = order, sums, unknown, bitmap
+        self.words = Kept(self.word, 150_000)
+
+    def maybe(self, key: int) -> bool:
+        at = (key & MASK) >> (64 - BITS)
+        return bool(self.bitmap[at >> 3] >> (at & 7) & 1)
+
+    def word(self, word: bytes) -> tuple[float, int, tuple[int, ...], tuple[int, ...]]:
+        """Log-probability, characters predicted, keys of what may be in the tail as n-gram and as context. What a
+        context that ends the word would weigh is never asked for."""
+        s, order, sums, bitmap = padded(word.decode("utf-8", "surrogatepass"), self.order), self.order, self.sums, self.bitmap
+        end, gains, backoffs = len(s) - 1, [], []
+        total = self.unknown * (len(s) - order + 1)
+        for i in range(order - 2, end + 1):
+            for n in range(order if i > order - 2 else order - 1, -1, -1):
                 g = s[i + 1 - n : i + 1]
-                known = table.get(g)
-                if known is None:
-                    if self.bitmap is None:
-                        if predicted:
-                            break
-                    else:
-                        missing.append((g, predicted, i < end and n < order))
-                    continue
-                if predicted:
-                    total += known[0]
-                if i < end:
-                    total += known[1]
-        tails: tuple[int, ...] = ()
-        if missing:
-            # Two keys an n-gram: that of its gain, and that of its back-off weight.
-            keys = [tail_key(g, kind) for g, gain, backoff in missing for kind, asked in (("g", gain), ("b", backoff)) if asked]
-            if keys:
-                maybe = contains(self.bitmap, np.asarray(keys, dtype=np.int64).view(np.uint64))
-                tails = tuple(k for k, m in zip(keys, maybe) if m)
-        return total, len(s) - (order - 1), tails
-
-
-def tail_key(g: str, kind: str) -> int:
-    """The same as Spark's xxhash64 of kind and n-gram."""
-    value = xxhash.xxh64_intdigest((kind + g).encode("utf-8", "surrogatepass"), seed=42)
+                known = sums.get(g)
+                if known is not None:
+                    if i > order - 2:
+                        total += known[0]
+                    if i < end:
+                        total += known[1]
+                    break
+                if bitmap is not None and self.maybe(key := tail_key(g)):
+                    if i > order - 2:
+                        gains.append(key)
+                    if i < end and n < order:
+                        backoffs.append(key)
+        return total, len(s) - (order - 1), tuple(gains), tuple(backoffs)
+
+
+MASK = (1 << 64) - 1
+
+
+def tail_key(g: str) -> int:
+    """The same as Spark's xxhash64 of an n-gram."""
+    value = xxhash.xxh64_intdigest(g.encode("utf-8", "surrogatepass"), seed=42)
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
@@ -210,16 +219,10 @@ def score(docs: DataFrame, features: DataFrame, unknown: float, *, order: int =
     spark = docs.sparkSession
     ship(spark)
     table, tail = split_features(features, head)
-    keys = tail.select(F.explode(F.array(F.struct(F.lit("g").alias("k"), F.col("gain").alias("v")), F.struct(F.lit("b").alias("k"), F.col("backoff").alias("v")))).alias("x"), "g").filter("x.v IS NOT NULL").select(F.xxhash64(F.concat("x.k", "g")).alias("key"), F.col("x.v").alias("value"))
-    keys = written(keys, "tail")
-
-    def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(positions(batch.column(0).to_numpy().view(np.uint64)).astype(np.int64))], ["p"])
-
+    keys = written(tail.select(F.xxhash64("g").alias("key"), "gain", "backoff"), "tail")
     some = bool(keys.limit(1).count())
-    bitmap = collect_bitmap(keys.select("key").mapInArrow(where, "p long"), "p", BITS) if some else None
-    shared = spark.sparkContext.broadcast((order, table, unknown, bitmap))
+    bitmap = collect_bitmap(keys.select(F.shiftrightunsigned("key", 64 - BITS).alias("p")), "p", BITS).tobytes() if some else None
+    shared = spark.sparkContext.broadcast((order, suffix_sums(table), unknown, bitmap))
     name = hash((id(shared), unknown))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,23 +231,27 @@ def score(docs: DataFrame, features: DataFrame, unknown: float, *, order: int =
             _SCORERS[name] = Scorer(*shared.value)
         words = _SCORERS[name].words
         for batch in batches:
-            n_chars, logp, tails = [], [], []
-            for text in batch.column(2):
-                got = list(map(words.__getitem__, (text.as_py() or "").encode("utf-8", "surrogatepass").split()))
-                a, b, c = zip(*got) if got else ((), (), ())
-                logp.append(float(sum(a)))
-                n_chars.append(sum(b))
-                tails.append([k for x in c if x for k in x] if some else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_chars, pa.int64()), pa.array(logp, pa.float64()), pa.array(tails, pa.list_(pa.int64()))], ["doc_id", "lang", "n_chars", "logp", "tails"])
+            n_chars, logp, gains, backoffs = [], [], [], []
+            with no_collector():
+                for text in batch.column(2):
+                    got = list(map(words.__getitem__, (text.as_py() or "").encode("utf-8", "surrogatepass").split()))
+                    a, b, c, d = zip(*got) if got else ((), (), (), ())
+                    logp.append(float(sum(a)))
+                    n_chars.append(sum(b))
+                    gains.append([k for x in c if x for k in x] if some else [])
+                    backoffs.append([k for x in d if x for k in x] if some else [])
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_chars, pa.int64()), pa.array(logp, pa.float64()), pa.array(gains, lists), pa.array(backoffs, lists)], ["doc_id", "lang", "n_chars", "logp", "gains", "backoffs"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.mapInArrow(run, "doc_id long, lang string, n_chars long, logp double, tails array<long>").withColumn("row", F.monotonically_increasing_id())
+    rows = rows.mapInArrow(run, "doc_id long, lang string, n_chars long, logp double, gains array<long>, backoffs array<long>").withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "scores")
     if not some:
-        return rows.drop("row", "tails")
-    asked = rows.select("row", F.explode("tails").alias("key")).groupBy("row", "key").agg(F.count("*").alias("n"))
-    more = asked.join(keys, "key").groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("more"))
-    return rows.drop("tails").join(more, "row", "left").withColumn("logp", F.col("logp") + F.coalesce("more", F.lit(0.0))).drop("row", "more")
+        return rows.drop("row", "gains", "backoffs")
+    asked = rows.select("row", F.explode("gains").alias("key"), F.lit(1).alias("g"), F.lit(0).alias("b")).unionByName(rows.select("row", F.explode("backoffs").alias("key"), F.lit(0).alias("g"), F.lit(1).alias("b")))
+    asked = asked.groupBy("row", "key").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
+    more = asked.join(keys, "key").groupBy("row").agg(F.sum(F.col("g") * F.col("gain") + F.col("b") * F.coalesce("backoff", F.lit(0.0))).alias("more"))
+    return rows.drop("gains", "backoffs").join(more, "row", "left").withColumn("logp", F.col("logp") + F.coalesce("more", F.lit(0.0))).drop("row", "more")
 
 
 def trusted_texts(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
