@@ -3,8 +3,9 @@
 Headers (page id, URL, payload digest, payload size) are shuffled by payload digest; payloads aren't. Of records with
 equal payloads of at least `least_bytes` bytes the one with the largest page id is the response, and the others are
 joined to it as revisits; smaller payloads are all responses. Frequent digests are joined by broadcast, at most
-`hot_parts` of them by their share of the rows, the rest by a shuffle. Pages then meet their verdicts by page id,
-which no hot payload can skew, and are written as gzipped WARC/1.1 files in Spark's own writer, one record a row.
+`hot_parts` of them by their share of the rows, the rest by a shuffle. Pages whose
+digest may repeat, as a bitmap of fixed size tells, meet their verdicts by page id, which no hot payload can skew; the
+others are responses without a shuffle. All are written as gzipped WARC/1.1 files in Spark's own writer, one record a row.
 
 A null page id sorts below all others, a null html is an empty payload, a null url an empty one. Rows that repeat a
 page id and payload are records of their own; one of them is the response, the rest revisit it.
@@ -18,11 +19,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from .bitmap import BITS, collect_bitmap
 from .common import shared_dir, ship
 
 VERSION = "WARC/1.1\r\n"
@@ -33,14 +37,18 @@ def _payload():
     return F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
 
 
-def verdicts(pages: DataFrame, *, least_bytes: int = 1000, hot_parts: int = 1000) -> DataFrame:
-    """A row per page id and digest: page_id, payload_digest, payload_bytes, original (page id of the response, or null
-    if the record is small), known (false for a null page id)."""
+def headers_of(pages: DataFrame) -> DataFrame:
+    """page_id, payload_digest, payload_bytes, rows (how often the three occur)."""
     shared_dir(pages.sparkSession)
     headers = pages.select(F.col("page_id").cast("long"), F.sha1(_payload()).alias("payload_digest"), F.octet_length(_payload()).cast("long").alias("payload_bytes"))
-    headers = headers.groupBy("page_id", "payload_digest", "payload_bytes").agg(F.count("*").alias("rows")).checkpoint()
+    return headers.groupBy("page_id", "payload_digest", "payload_bytes").agg(F.count("*").alias("rows")).checkpoint()
+
+
+def verdicts(headers: DataFrame, *, least_bytes: int = 1000, hot_parts: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(page_id, payload_digest, payload_bytes, original) for each page id and digest, where original is the page id of the
+    response, or null if the record is small; and the digests that more than one large record has."""
     large = headers.filter(F.col("payload_bytes") >= least_bytes)
-    winners = large.groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).checkpoint()
+    winners = large.groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n"), F.sum("rows").alias("records")).checkpoint()
     total = headers.count()
     is_hot = F.col("n") * hot_parts > total
     hot = winners.filter(is_hot).select("payload_digest", "original")
@@ -48,7 +56,12 @@ def verdicts(pages: DataFrame, *, least_bytes: int = 1000, hot_parts: int = 1000
     settled = large.join(F.broadcast(hot), "payload_digest")
     rest = large.join(F.broadcast(hot.select("payload_digest")), "payload_digest", "left_anti").join(cold, "payload_digest")
     small = headers.filter(F.col("payload_bytes") < least_bytes).withColumn("original", F.lit(None).cast("long"))
-    return settled.unionByName(rest).unionByName(small).drop("rows")
+    return settled.unionByName(rest).unionByName(small).drop("rows"), winners.filter("records > 1").select("payload_digest")
+
+
+def _position(digest):
+    """The first 26 bits of a hex digest."""
+    return F.shiftright(F.conv(F.substring(digest, 1, 7), 16, 10).cast("long"), 28 - BITS)
 
 
 def record_id(page_id, digest):
@@ -59,11 +72,25 @@ def record_id(page_id, digest):
 
 def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z") -> None:
     """One record for each row of pages, as gzipped text parts in `path`."""
-    v = verdicts(pages, least_bytes=least_bytes).select(F.col("page_id").alias("v_id"), F.col("payload_digest").alias("v_digest"), "original")
+    spark = pages.sparkSession
+    ship(spark)
+    v, repeated = verdicts(headers_of(pages), least_bytes=least_bytes)
+    v = v.select(F.col("page_id").alias("v_id"), F.col("payload_digest").alias("v_digest"), "original")
+    # Pages whose digest no bit stands for have no copy: they are responses, and their payloads need no shuffle.
+    bitmap = spark.sparkContext.broadcast(collect_bitmap(repeated.select(_position("payload_digest").alias("p")), "p"))
+
+    @F.pandas_udf("boolean")
+    def maybe(at: pd.Series) -> pd.Series:
+        p = at.to_numpy(np.int64)
+        return pd.Series((bitmap.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) != 0)
+
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumns({"digest": F.sha1(_payload()), "bytes": F.octet_length("html").cast("long")})
-    rows = rows.join(v, rows["page_id"].eqNullSafe(v["v_id"]) & (rows["digest"] == v["v_digest"]))
+    rows = rows.withColumn("maybe", maybe(_position("digest")))
+    alone = rows.filter("NOT maybe").withColumns({"original": F.lit(None).cast("long"), "nth": F.lit(1), "revisit": F.lit(False)})
+    rows = rows.filter("maybe").join(v, rows["page_id"].eqNullSafe(v["v_id"]) & (rows["digest"] == v["v_digest"]))
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("v_id", "v_digest").orderBy("url")))
     revisit = (F.col("bytes") >= least_bytes) & (~F.col("page_id").eqNullSafe(F.col("original")) | (F.col("nth") > 1))
+    rows = rows.withColumn("revisit", revisit).drop("v_id", "v_digest").unionByName(alone)
     crlf = F.lit("\r\n")
     http = F.when(F.col("revisit"), F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")).otherwise(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, crlf)
@@ -80,7 +107,7 @@ def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 1000, date
         F.when(F.col("revisit"), F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record_id(F.col("original"), F.col("digest"))), line("X-Refers-To-Page", text("original")))).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
     )
-    out = rows.withColumn("revisit", revisit).withColumn("http", http)
+    out = rows.withColumn("http", http)
     block = F.when(F.col("revisit"), F.col("http")).otherwise(F.concat("http", "html"))
     length = F.octet_length("http") + F.when(F.col("revisit"), F.lit(0).cast("long")).otherwise(F.col("bytes"))
     out.select(F.concat(head, line("Content-Length", length.cast("string")), crlf, block).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
