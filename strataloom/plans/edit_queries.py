@@ -170,7 +170,7 @@ def sync_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.sync_conflicts(handles.withColumn("last_known", F.col("last_known").cast("string")), files.withColumn("modified", F.col("modified").cast("string")))
 
 
-SLUG = "regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+SLUG = "regexp_replace(regexp_replace(lower(trim({})), '[ \\t\\r\\n]+', '-', 'g'), '[^a-z0-9-]', '', 'g')"
 
 
 @query(PRE + f" SELECT c.model_id, c.id, string_agg({SLUG.format('u.name')}, '.' ORDER BY depth DESC) AS slug_id FROM closure c JOIN uniq u ON u.id = c.anc GROUP BY 1, 2")
@@ -263,3 +263,30 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = found.select("doc_id", F.col("pos").alias("parent_pos"), F.col("name").alias("parent"))
     kind = F.when(F.col("type") == "relationship", F.element_at("attributes", "type")).otherwise(F.col("kind"))
     return found.join(names, ["doc_id", "parent_pos"], "left").select("doc_id", "type", kind.alias("kind"), "name", "target", "parent")
+
+
+def spoilt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered models, four in five with a fault by the customer's key."""
+    docs = render_text(spark, sf_dir).withColumnRenamed("model_id", "doc_id").join(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("doc_id"), "c_name"), "doc_id")
+    k, body = F.col("doc_id").cast("long") % 5, F.col("text")
+    fault = F.when(k == 1, F.replace(body, F.lit('"1.0.0"'), F.lit('"2.0.0"'))).when(k == 2, F.concat(body, F.lit('container "'), "c_name", F.lit('"'))).when(k == 3, F.concat(body, F.lit('"ghost" -> "'), "c_name", F.lit('"'))).when(k == 4, F.lit('version "1.0.0" # nothing')).otherwise(body)
+    return docs.select("doc_id", fault.alias("text"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS doc_id, CASE c_custkey % 5 WHEN 1 THEN 'UNSUPPORTED_VERSION' WHEN 2 THEN 'DUPLICATE_NAME' WHEN 3 THEN 'UNRESOLVED_REFERENCE' ELSE 'EMPTY_DOCUMENT' END AS error_code, CASE c_custkey % 5 WHEN 2 THEN c_name WHEN 3 THEN 'ghost' END AS element_name FROM customer WHERE c_custkey % 5 <> 0""")
+def document_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.document_checks(text.tokenise(spoilt_texts(spark, sf_dir))).select("doc_id", "error_code", "element_name")
+
+
+@query(f"""WITH c AS (SELECT c_custkey, {SLUG.format('c_name')} AS slug, c_name FROM customer), o AS (SELECT o.o_orderkey, c.c_custkey, c.slug || '.order-' || o_orderkey::VARCHAR AS slug, c.slug AS up FROM orders o JOIN c ON o.o_custkey = c.c_custkey)
+SELECT c_custkey::VARCHAR AS model_id, slug AS id, 'container' AS kind, c_name AS name, NULL AS parent_id FROM c UNION ALL SELECT c_custkey::VARCHAR, slug, 'component', 'Order ' || o_orderkey::VARCHAR, up FROM o
+UNION ALL SELECT o.c_custkey::VARCHAR, o.slug || '.supply-' || l_orderkey::VARCHAR || '-' || l_suppkey::VARCHAR, 'code', 'Supply ' || l_orderkey::VARCHAR || ' ' || l_suppkey::VARCHAR, o.slug FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN o ON l_orderkey = o_orderkey""")
+def assemble_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = render_text(spark, sf_dir).withColumnRenamed("model_id", "doc_id")
+    return text.assemble(text.statements(text.tokenise(docs)))[0].select("model_id", "id", "kind", "name", "parent_id")
+
+
+@query()
+def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the tables themselves, newest first; contents aren't read."""
+    return catalog.catalog_listing(spark, sf_dir, "*.parquet")
