@@ -114,6 +114,57 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_VALUES = mix(np.arange(256, dtype=np.uint64), 11)
+_BASE = 0x9E3779B97F4A7C15
+_BLOCK = 1 << 18
+_POWERS: list[np.ndarray] = []
+
+
+def _powers() -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2**64."""
+    if not _POWERS:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(_BLOCK, base, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS.append(np.cumprod(steps, dtype=np.uint64))
+    return _POWERS
+
+
+def hash_words(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text in UTF-8, in order, by array operations over its bytes. Words of 64 bytes or
+    more are hashed one by one with xxh3, so that no long pattern can play on the arithmetic."""
+    if len(data) > _BLOCK:
+        out, part, size = [], [], 0
+        for word in data.split():
+            if len(word) >= 64:
+                if part:
+                    out.append(hash_words(b" ".join(part)))
+                out.append(np.array([xxhash.xxh3_64_intdigest(word)], dtype=np.uint64))
+                part, size = [], 0
+                continue
+            part.append(word)
+            size += len(word) + 1
+            if size > _BLOCK - 100:
+                out.append(hash_words(b" ".join(part)))
+                part, size = [], 0
+        if part:
+            out.append(hash_words(b" ".join(part)))
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+    raw = np.frombuffer(data, np.uint8)
+    edges = np.ones(len(raw) + 2, dtype=np.int8)
+    edges[1:-1] = _WHITE[raw]
+    edges = np.diff(edges)
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    power, inverse = _powers()
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_VALUES[raw] * power[: len(raw)], out=sums[1:])
+    out = mix((sums[ends] - sums[starts]) * inverse[starts], 12)
+    for i in np.flatnonzero(ends - starts >= 64):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return out
+
+
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     """64-bit hashes of all windows of n words, in order; none when there are fewer words."""
     if len(hashes) < n:
