@@ -3,7 +3,8 @@
 A text is compressed whole, and again in fixed chunks, with zstandard at a fixed level. Its ratio is compressed bytes
 over bytes. Repetitive text compresses too well, random text too little; what is normal depends on length, as short
 texts compress little. The bands below give the limits for each length; a document is rejected when its whole ratio
-leaves the band of its length, or when more than a share of its chunks leave the chunk band.
+leaves the band of its length, or when more than a share of its chunks leave the chunk band. The last chunk is as long
+as the text leaves it; a rest too short for a band of its own belongs to the chunk before.
 
 Base counts: words are runs of anything but ASCII white space. A null text has no words. No shuffle; whole texts;
 rows come out as many as went in, repeated ones too.
@@ -39,6 +40,8 @@ class Band:
 #: Below 400 bytes a ratio says little of the text; frames and headers weigh most.
 WHOLE_BANDS = (Band(0, 0.0, 9.0), Band(400, 0.30, 0.80), Band(1_000, 0.28, 0.72), Band(4_000, 0.26, 0.64), Band(16_000, 0.22, 0.60))
 CHUNK_BANDS = (Band(0, 0.0, 9.0), Band(1_000, 0.28, 0.74))
+#: A shorter rest joins the chunk before.
+LEAST_REST = 1_000
 
 
 def within(ratio: float, n_bytes: int, bands: Sequence[Band]) -> bool:
@@ -74,20 +77,31 @@ def base_counts(data: bytes) -> tuple[int, int, int, int, int]:
 
 
 def compression(data: bytes, packer: zstandard.ZstdCompressor, chunk: int) -> tuple[float, int, int]:
-    """Ratio of the whole text, number of chunks, number of chunks outside their band. An empty text has ratio 0."""
+    """Ratio of the whole text, number of full chunks (1 for a shorter text), number of those outside their band. An
+    empty text has ratio 0."""
     if not data:
         return 0.0, 0, 0
     whole = len(packer.compress(data)) / len(data)
-    n = bad = 0
-    for i in range(0, len(data), chunk):
-        part = data[i : i + chunk]
-        if len(part) < chunk and i:
-            break  # the rest counts in the whole ratio
-        n += 1
-        bad += not within(len(packer.compress(part)) / len(part), len(part), CHUNK_BANDS)
+    n = max(1, len(data) // chunk)
+    bad = 0
+    for i in range(n):
+        part = data[i * chunk : (i + 1) * chunk]
+        if i == n - 1 and len(data) - n * chunk < LEAST_REST:
+            part = data[i * chunk :]
+        bad += outside(part, packer)
     return whole, n, bad
 
 
+def outside(part: bytes, packer: zstandard.ZstdCompressor) -> bool:
+    return not within(len(packer.compress(part)) / len(part), len(part), CHUNK_BANDS)
+
+
+def last_part(data: bytes, packer: zstandard.ZstdCompressor, chunk: int) -> tuple[int, int]:
+    """1 and whether it leaves its band, for a rest behind the full chunks that is judged by itself; else 0 and 0."""
+    rest = data[len(data) // chunk * chunk :] if len(data) > chunk else b""
+    return (1, int(outside(rest, packer))) if len(rest) >= LEAST_REST else (0, 0)
+
+
 RULES = StructType(
     [StructField(c, LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     + [StructField("base_failed", BooleanType()), StructField("whole_ratio", DoubleType())]
@@ -104,6 +118,8 @@ def rules(texts: pa.Array, level: int, chunk: int, bad_share: float) -> pa.Struc
         counts = base_counts(data)
         failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
         ratio, chunks, bad = compression(data, packer, chunk)
+        rest, bad_rest = last_part(data, packer, chunk)
+        chunks, bad = chunks + rest, bad + bad_rest
         kept = not failed and within(ratio, len(data), WHOLE_BANDS) and bad <= bad_share * chunks
         rows.append((*counts, failed, ratio, chunks, bad, kept))
     return [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 5 + [pa.bool_(), pa.float64()] + [pa.int64()] * 2 + [pa.bool_()])] if rows else [pa.array([], t) for t in [pa.int64()] * 5 + [pa.bool_(), pa.float64()] + [pa.int64()] * 2 + [pa.bool_()]]

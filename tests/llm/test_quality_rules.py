@@ -56,6 +56,23 @@ def test_compression_bands():
     assert q.compression(b"", packer, 4096) == (0.0, 0, 0)
 
 
+def test_last_part_is_judged():
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    prose = " ".join("".join(rnd.choice(["an", "th", "er", "on", "re", "st", "ing", "ou", "al"]) for _ in range(rnd.randrange(1, 5))) for _ in range(3000))
+    noise = "".join(chr(rnd.randrange(33, 127)) for _ in range(4_000))
+
+    def judged(text):
+        *_, ratio, chunks, bad, kept = (c[0].as_py() for c in q.rules(pa.array([text]), 1, 4096, 0.25))
+        return q.within(ratio, len(text), q.WHOLE_BANDS), chunks, bad, kept
+
+    assert judged(prose[:8_000]) == (True, 2, 0, True)
+    assert judged(prose[:4_096] + noise) == (True, 2, 1, False)
+    assert judged(noise + prose[:4_191]) == (True, 2, 1, False)
+    assert judged(prose[:4_096] + noise[:900])[1:3] == (1, 0)  # too short by itself
+
+
 def test_filter_keeps_columns(spark):
     df = documents(spark, [(i, t) for i, t in enumerate(texts())]).withColumns({"kept": F.lit(False), "verdict": F.lit("x")})
     out = q.keep_by_rules(df)
