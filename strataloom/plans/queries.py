@@ -172,11 +172,21 @@ walk AS (SELECT id, id AS anc, parent_id AS next, 0 AS d FROM looped UNION ALL S
 onc AS (SELECT DISTINCT id FROM walk WHERE d > 0 AND id = anc)
 SELECT DISTINCT 'estate' AS model_id, w.id, w.id IN (SELECT id FROM onc) AS on_cycle FROM walk w WHERE w.anc IN (SELECT id FROM onc)""")
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cycles_whole without code elements, as its SQL is."""
+    return hierarchy.cycles(looped(spark, sf_dir).filter("kind <> 'code'"))
+
+
+def looped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A region that is put under one of its nations closes a loop, and all below it lead into that."""
     elements, _ = estate(spark, sf_dir)
     first = spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_regionkey = 1").agg(F.min("n_nationkey")).first()[0]
-    looped = elements.filter("kind <> 'code'").withColumn("parent_id", F.when(F.col("id") == "r:1", F.lit(f"n:{first}")).otherwise(F.col("parent_id")))
-    return hierarchy.cycles(looped)
+    return elements.withColumn("parent_id", F.when(F.col("id") == "r:1", F.lit(f"n:{first}")).otherwise(F.col("parent_id")))
+
+
+@query()
+def cycles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every element of the estate that is on a cycle or leads into one."""
+    return hierarchy.cycles(looped(spark, sf_dir))
 
 
 # Rules, over one model for each nation.
@@ -264,10 +274,17 @@ def placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 @query(PRE + """, g AS (SELECT model_id, id, row_number() OVER (PARTITION BY model_id ORDER BY ord) - 1 AS n FROM elements WHERE kind <> 'code')
 SELECT model_id, id AS element_id, (50 + (n % 3) * 150)::DOUBLE AS x, (50 + (n // 3) * 150)::DOUBLE AS y, 120.0::DOUBLE AS w, 80.0::DOUBLE AS h FROM g""")
 def grid_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """grid_layout_whole without code elements, as its SQL is."""
     elements = layout.place_in_model(estate(spark, sf_dir)[0].filter("kind <> 'code'"))
     return layout.grid_layout(elements, F.col("nth"))
 
 
+@query()
+def grid_layout_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place for every element of the estate."""
+    return layout.grid_layout(layout.place_in_model(estate(spark, sf_dir)[0]), F.col("nth"))
+
+
 @query(PRE + " SELECT model_id, id AS relationship_id FROM relationships WHERE source_id IN (SELECT id FROM elements WHERE kind <> 'person') AND target_id IN (SELECT id FROM elements WHERE kind <> 'person')")
 def layout_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     elements, rels = estate(spark, sf_dir)
