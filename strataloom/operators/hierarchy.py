@@ -22,14 +22,25 @@ def parents(elements: DataFrame) -> DataFrame:
 
 
 def ancestor_closure(elements: DataFrame, levels: int = 5) -> DataFrame:
-    """(model_id, id, anc, depth): each element with itself at depth 0 and its ancestors, for hierarchies of at most
-    `levels` levels, as unrolled joins. A parent that doesn't exist is an ancestor, and ends the walk."""
+    """(model_id, id, anc, depth): each element with itself at depth 0 and all its ancestors. Unrolled joins find them
+    in hierarchies of at most `levels` levels; walks that go on from there are carried on by pointer doubling. A parent
+    that doesn't exist is an ancestor, and ends the walk. On a cycle each pair stands once, at its least depth."""
+    shared_dir(elements.sparkSession)
     up = parents(elements)
     step = up.select("model_id", F.col("id").alias("anc"), F.col("parent_id").alias("next"))
     row = up.select("model_id", "id", F.array("id", "parent_id").alias("path"), F.col("parent_id").alias("anc"))
     for _ in range(levels - 2):
         row = row.join(step, ["model_id", "anc"], "left").select("model_id", "id", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("anc"))
-    return row.select("model_id", "id", F.posexplode("path").alias("depth", "anc")).filter("anc IS NOT NULL").select("model_id", "id", "anc", "depth")
+    row = row.checkpoint()
+    pairs = row.select("model_id", "id", F.posexplode("path").alias("depth", "anc")).filter("anc IS NOT NULL").select("model_id", "id", "anc", "depth")
+    # Where walks stand now: with an element its parent is among these, too.
+    tops = row.filter("anc IS NOT NULL").select("model_id", F.col("anc").alias("id")).distinct()
+    above = up.filter("parent_id IS NOT NULL").join(tops, KEY, "left_semi").checkpoint()
+    if not above.limit(1).count():
+        return pairs
+    far = _doubled(above).select("model_id", F.col("id").alias("top"), F.col("anc").alias("far"), "depth")
+    more = row.select("model_id", "id", F.col("anc").alias("top")).join(far, ["model_id", "top"]).select("model_id", "id", F.col("far").alias("anc"), (F.col("depth") + (levels - 1)).alias("depth"))
+    return pairs.unionByName(more).groupBy("model_id", "id", "anc").agg(F.min("depth").alias("depth"))
 
 
 def deep_closure(elements: DataFrame, max_doublings: int = 32) -> DataFrame:
@@ -39,7 +50,12 @@ def deep_closure(elements: DataFrame, max_doublings: int = 32) -> DataFrame:
     is its own ancestor at the cycle's length; the least depth of each pair is kept, so rounds end there too.
     """
     shared_dir(elements.sparkSession)
-    up = parents(elements).filter("parent_id IS NOT NULL")
+    pairs = _doubled(parents(elements).filter("parent_id IS NOT NULL"), max_doublings)
+    return parents(elements).select("model_id", "id", F.col("id").alias("anc"), F.lit(0).alias("depth")).unionByName(pairs)
+
+
+def _doubled(up: DataFrame, max_doublings: int = 32) -> DataFrame:
+    """(model_id, id, anc, depth) from depth 1 on, of up(model_id, id, parent_id)."""
     pairs = up.select("model_id", "id", F.col("parent_id").alias("anc"), F.lit(1).alias("depth")).checkpoint()
     before = pairs.count()
     for _ in range(max_doublings):
@@ -50,7 +66,7 @@ def deep_closure(elements: DataFrame, max_doublings: int = 32) -> DataFrame:
         if now == before:
             break
         before = now
-    return parents(elements).select("model_id", "id", F.col("id").alias("anc"), F.lit(0).alias("depth")).unionByName(pairs)
+    return pairs
 
 
 def cycles(elements: DataFrame) -> DataFrame:

@@ -64,6 +64,20 @@ def test_deep_and_cyclic_hierarchies(spark):
     assert {r.id for r in hierarchy.descendants(loop, gone, hierarchy.deep_closure(loop)).collect()} == {"y", "z", "below"}
 
 
+def test_closure_goes_to_any_depth(spark):
+    chain = elements(spark, *[(f"n{i}", "code", f"n{i - 1}" if i else None) for i in range(11)], ("far", "code", "gone"))
+    pairs = sorted((r.id, r.anc, r.depth) for r in hierarchy.ancestor_closure(chain).collect())
+    assert pairs == sorted([(f"n{i}", f"n{j}", i - j) for i in range(11) for j in range(i + 1)] + [("far", "far", 0), ("far", "gone", 1)])
+    top = spark.createDataFrame([("m", "n0")], "model_id string, id string")
+    assert {r.id for r in hierarchy.descendants(chain, top).collect()} == {f"n{i}" for i in range(1, 11)}
+    nodes = spark.createDataFrame([], "model_id string, view_id string, ord string, element_id string, x double, y double, w double, h double")
+    drawn = spark.createDataFrame([], "model_id string, view_id string, ord string, relationship_id string")
+    left = edits.cascade_delete(chain, rels(spark, ("r", "n10", "far")), nodes, drawn, top)
+    assert [r.id for r in left[0].collect()] == ["far"] and left[1].count() == 0
+    loop = elements(spark, ("x", "code", "z"), ("y", "code", "x"), ("z", "code", "y"), ("below", "code", "x"))
+    assert sorted((r.anc, r.depth) for r in hierarchy.ancestor_closure(loop).filter("id = 'below'").collect()) == [("below", 0), ("x", 1), ("y", 3), ("z", 2)]
+
+
 def test_rules(spark):
     e = elements(spark, ("top", "landscape", "a"), ("a", "system", "top", True), ("a", "system"), ("k", "container", "a"), ("odd", "thing", "a")).withColumns({"has_code_ref": F.col("kind") == "container", "present": F.when(F.col("is_external"), F.array(F.lit("isExternal"), F.lit("formatting"))).otherwise(F.array(F.lit("isExternal"))), "formatting": F.struct(F.lit("#12345G").alias("background_color"), F.lit("#abcdef").alias("border_color"), F.lit(None).cast("string").alias("font_color"))})
     found = {(r.code, r.path) for r in rules.hierarchy_violations(e).collect()}
