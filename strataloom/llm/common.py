@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +35,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what `written` wrote. Only for tables that nothing reads any more: whatever was made of them must have
+    been written itself."""
+    for df in tables:
+        _delete(df.sparkSession, df._folder)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this library in the shared folder; results made from them must be kept elsewhere."""
+    _delete(spark, f"{shared_dir(spark)}/strataloom")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -98,11 +119,18 @@ def no_collector() -> Iterator[None]:
             gc.enable()
 
 
-WORD_HASHES = Kept(xxhash.xxh3_64_intdigest, 200_000)
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(WORD_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+def tidy(batches: Iterator[pa.RecordBatch], *kept: Kept) -> Iterator[pa.RecordBatch]:
+    """Pass a task's batches on; when the task ends, empty its caches and give the worker's free memory back, as the
+    worker lives on beside whatever runs next."""
+    try:
+        yield from batches
+    finally:
+        for cache in kept:
+            cache.clear()
+            cache.old = {}
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:

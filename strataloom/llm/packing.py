@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import Kept, no_collector, ship, text_bytes
+from .common import Kept, no_collector, ship, text_bytes, tidy
 
 _PLAIN = re.compile(rb"([A-Za-z]+)([,.;:!?]*)")
 _SPLIT = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -33,7 +33,7 @@ _SPLIT = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
 class WordIds:
     """Token ids of whole texts, as little-endian unsigned 32-bit ids, for a lower-casing vocabulary with word ends."""
 
-    WORDS, PARTS = 500_000, 100_000
+    WORDS, PARTS = 150_000, 50_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, vocabulary: str, *, max_length: int = 2048, end_id: in
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(),) * 4 + (pa.int32(), pa.binary()))], names)
 
-        for batch in batches:
+        for batch in tidy(batches):
             rows, held = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 with no_collector():
