@@ -46,7 +46,7 @@ def test_counts_match_brute_force(spark):
 def test_compression_bands():
     packer = zstandard.ZstdCompressor(level=1)
     rnd = random.Random(2)
-    prose = " ".join("".join(rnd.choice(["an", "th", "er", "on", "re", "st"]) for _ in range(rnd.randrange(1, 4))) for _ in range(3000)).encode()
+    prose = vocabulary_text(rnd, 2400).encode()
     ratio, chunks, bad = q.compression(prose, packer, 4096)
     assert q.within(ratio, len(prose), q.WHOLE_BANDS) and chunks == len(prose) // 4096 and not bad
     ratio, *_ = q.compression(b"again and again, " * 2000, packer, 4096)
@@ -60,17 +60,19 @@ def test_last_part_is_judged():
     import pyarrow as pa
 
     rnd = random.Random(4)
-    prose = " ".join("".join(rnd.choice(["an", "th", "er", "on", "re", "st", "ing", "ou", "al"]) for _ in range(rnd.randrange(1, 5))) for _ in range(3000))
+    prose = vocabulary_text(rnd, 3000)
     noise = "".join(chr(rnd.randrange(33, 127)) for _ in range(4_000))
 
     def judged(text):
-        *_, ratio, chunks, bad, kept = (c[0].as_py() for c in q.rules(pa.array([text]), 1, 4096, 0.25))
+        *_, ratio, chunks, bad, kept = (c[0].as_py() for c in q.rules(pa.array([text]), 1, 4096, 0.2))
         return q.within(ratio, len(text), q.WHOLE_BANDS), chunks, bad, kept
 
     assert judged(prose[:8_000]) == (True, 2, 0, True)
-    assert judged(prose[:4_096] + noise) == (True, 2, 1, False)
-    assert judged(noise + prose[:4_191]) == (True, 2, 1, False)
-    assert judged(prose[:4_096] + noise[:900])[1:3] == (1, 0)  # too short by itself
+    assert judged(prose[:12_288] + noise[:1_500])[1:] == (4, 1, False)
+    assert judged(noise[:2_000] + prose[:11_788])[1:] == (4, 1, False)
+    assert judged(prose[:4_096] + noise)[1:] == (2, 1, False)
+    assert judged(noise + prose[:4_191])[1:] == (2, 1, False)
+    assert judged(prose[:4_096] + noise[:200])[1:3] == (1, 0)  # too short by itself
 
 
 def test_filter_keeps_columns(spark):
@@ -79,3 +81,37 @@ def test_filter_keeps_columns(spark):
     want = {r.doc_id for r in q.score_rules(df).collect() if r.kept}
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} == want
     assert q.score_rules(documents(spark, [])).collect() == [] and q.keep_by_rules(documents(spark, [])).collect() == []
+
+
+def vocabulary_text(rnd, n):
+    """Words of natural lengths with natural frequencies, from 30,000 made ones."""
+    words = ["".join(rnd.choice("eeeetttaaooiinnsshhrrdlcumwfgypbvk") for _ in range(rnd.randrange(2, 10))) for _ in range(30_000)]
+    return " ".join(words[int(30_000 ** rnd.random()) - 1] for _ in range(n))
+
+
+def test_only_the_bands_reject(spark):
+    """Texts that pass all base counts and don't read like text."""
+    import base64
+
+    rnd = random.Random(8)
+    template = " ".join(f"unit number {rnd.randrange(10**4)} of this list {rnd.randrange(10**4)} is not sold {rnd.randrange(10**4)}" for _ in range(400))
+    noise = " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(rnd.randrange(3, 12))) for _ in range(800))
+    coded = base64.b64encode(rnd.randbytes(6000)).decode()
+    coded = " ".join(coded[i : i + 76] for i in range(0, len(coded), 76))
+    docs = documents(spark, [(1, template), (2, noise), (3, coded), (4, vocabulary_text(rnd, 1000))])
+    out = {r.doc_id: r for r in q.score_rules(docs).collect()}
+    assert not any(r.base_failed for r in out.values())
+    assert [out[i].kept for i in (1, 2, 3)] == [False] * 3
+    assert [r.doc_id for r in q.keep_by_rules(docs).collect()] == [i for i in out if out[i].kept]
+
+
+def test_bands_from_good_documents(spark):
+    rnd = random.Random(9)
+    docs = documents(spark, [(i, vocabulary_text(rnd, rnd.randrange(50, 900))) for i in range(60)] + [(100, None), (101, "")])
+    bands = q.measure_bands(docs, steps=(200, 1000, 3000, 100_000), tail=0.0)
+    assert [b.from_bytes for b in bands] == [0, 200, 1000, 3000]
+    packer = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=False)
+    for r in docs.filter("text <> ''").collect():
+        data = r.text.encode()
+        assert q.within(len(packer.compress(data)) / len(data), len(data), bands)
+    assert not q.within(0.01, 5000, bands) and not q.within(0.95, 5000, bands)
