@@ -1,91 +1,144 @@
 """Perplexity under an interpolated modified Kneser-Ney n-gram model, thresholded by language.
 
-The model runs over the characters of words: a word is `order - 2` pad characters, a space, its characters and a
-space, and every character after the first space is predicted from the order - 1 before it. Words are runs of anything
-but ASCII white space, case kept, whole texts. It is trained on trusted documents alone, all of them: counts grow with
-the trusted text, are summed in shards by n-gram, and continuation counts, context totals and discounts come from
-joins and aggregations of those shards.
+The model runs over the characters of running text: `order - 2` pad characters, then each word with a space before it,
+and a space at the end; every character after the first space is predicted from the order - 1 before it, across word
+borders too. Words are runs of anything but ASCII white space, case kept, whole texts. It is trained on trusted
+documents alone: counts grow with the trusted text, are summed in shards by n-gram, and continuation
+counts, context totals and discounts come from joins and aggregations of those shards.
 
 Scoring is a sum over n-grams: log p of a character is that of the unknown character, plus for each order whose
 n-gram the model has the gain over the order below, plus for each known context the logarithm of its back-off weight.
-Gains and weights are one table keyed by n-gram. Its most frequent rows, at most `head`, are broadcast; n-grams that a
-bitmap of fixed size lets through as possible others are joined with the rest of the table in shards and summed by
-document. What is broadcast therefore never grows with the corpus, and no n-gram is left out.
-
-The verdict compares the mean negative log-probability of a document's characters, drawn towards the mean of its
-language by `prior` characters so that short texts aren't judged by chance, with a quantile of the same figure over
-the trusted documents of that language (of all trusted documents for a language without any). Empty or null texts
-have no perplexity and aren't kept. Null lang is a language of its own. Repeated rows give repeated rows.
+Gains and weights are one table keyed by n-gram. Its most frequent rows, at most `head`, are broadcast as sorted
+arrays; n-grams that a bitmap of fixed size lets through as possible others are joined with the rest of the table in
+shards and summed by document. What is broadcast therefore never grows with the corpus, and no n-gram is left out.
+Tasks know n-grams by 64-bit hashes; that two of a corpus share one is less likely than 1e-5 at ten million n-grams.
+
+One trusted document in CALIBRATION isn't trained on, but sets the limits: a model knows its own texts too well. The
+verdict compares the mean negative log-probability of a document's characters, drawn towards the mean of its language
+by `prior` characters so that short texts aren't judged by chance, with a quantile of the same figure over those
+documents of that language (of all of them for a language without any). Empty or null texts have no perplexity and
+aren't kept. Null lang is a language of its own. Repeated rows give repeated rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import BITS, collect_bitmap, contains, positions
-from .common import Kept, mix, no_collector, ship, shared_dir, written
+from .common import discard, mix, ship, shared_dir, text_bytes, tidy, written
 
 PAD = "\x02"
 
 
-def padded(word: str, order: int) -> str:
-    return PAD * (order - 2) + " " + word + " "
+#: One trusted document in so many sets limits.
+CALIBRATION = 10
+#: Characters that are looked at together.
+CHUNK = 1 << 20
+_START, _STEP = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15)
+
+
+def padded(text: str, order: int) -> str:
+    """The characters of a text as the model sees them; a text without words has none."""
+    words = text_bytes(text).split()
+    return PAD * (order - 2) + " " + b" ".join(words).decode("utf-8", "surrogatepass") + " " if words else ""
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def lengthened(keys: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams with a character more in front."""
+    with np.errstate(over="ignore"):
+        keys = (keys ^ (chars + np.uint64(1))) * _STEP
+        return keys ^ (keys >> np.uint64(29))
+
+
+def ending_at(chars: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, hashes of the n-grams that end at each place from n - 1 on), n from 1 to order."""
+    keys = np.full(len(chars), _START)
+    for n in range(1, min(order, len(chars)) + 1):
+        keys = lengthened(keys[1:] if n > 1 else keys, chars[: len(chars) - n + 1])
+        yield n, keys
+
+
+def gram_keys(grams: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of n-grams of any lengths, and of the same without their first characters."""
+    keys, shorter = np.full(len(grams), _START), np.full(len(grams), _START)
+    sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+    for n in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == n)
+        chars = code_points("".join(grams[i] for i in at.tolist())).reshape(-1, n)
+        key = np.full(len(at), _START)
+        for k in range(n - 1, -1, -1):
+            if k == 0:
+                shorter[at] = key
+            key = lengthened(key, chars[:, k])
+        keys[at] = key
+    return keys, shorter
+
+
+def streams(texts: Iterator[str | None], order: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Padded texts put together to about CHUNK characters, with the length and the place in `texts` of each. Longer
+    texts come in pieces that share order - 1 characters, so that each n-gram of the order lies in one piece."""
+    held, owners, size = [], [], 0
+    for i, text in enumerate(texts):
+        whole = padded(text, order) if text else ""
+        for at in range(0, max(1, len(whole) - order + 1), CHUNK):
+            held.append(whole[at : at + CHUNK + order - 1])
+            owners.append(i)
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield "".join(held), np.array([len(x) for x in held]), np.array(owners)
+                held, owners, size = [], [], 0
+    if held:
+        yield "".join(held), np.array([len(x) for x in held]), np.array(owners)
 
 
 def count_ngrams(texts: DataFrame, order: int) -> DataFrame:
     """g, c: all n-grams of the highest order in texts(text), with counts, summed by n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[str] = Counter()
-        sums: dict[str, int] = {}
-
-        def flush() -> None:
-            # Of distinct words only: each n-gram counts as often as its words do.
-            every = [padded(w.decode("utf-8", "surrogatepass"), order) for w in words]
-            weight = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(x) for x in every])
-            text = "".join(every)
-            chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-            last = np.cumsum([len(x) for x in every])
-            n = len(chars) - order + 1
-            with np.errstate(over="ignore"):
-                key = np.zeros(n, dtype=np.uint64)
-                for i in range(order):
-                    key = mix(key ^ chars[i : i + n], i)
-            inside = np.ones(n, dtype=bool)
-            for k in range(1, order):  # no n-gram crosses words
-                at = last - k
-                inside[at[at < n]] = False
-            where = np.flatnonzero(inside)
-            _, first, inverse = np.unique(key[where], return_index=True, return_inverse=True)
-            total = np.bincount(inverse, weights=weight[where]).astype(np.int64)
-            for i, c in zip(where[first].tolist(), total.tolist()):
-                g = text[i : i + order]
-                sums[g] = sums.get(g, 0) + c
-            words.clear()
+        keys, sums, grams = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["g", "c"])
-            sums.clear()
-            return batch
-
-        for batch in batches:
-            for text in batch.column(0):
-                if text.is_valid:
-                    words.update(text.as_py().encode("utf-8", "surrogatepass").split())
-                    if len(words) > 200_000:
-                        flush()
-                        if len(sums) > 400_000:
-                            yield out()
-        if words:
-            flush()
-        if sums:
+            return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(sums)], ["g", "c"])
+
+        for text, sizes, _ in streams((x.as_py() for batch in tidy(batches) for x in batch.column(0)), order):
+            if not text:
+                continue
+            chars = code_points(text)
+            for _, found in ending_at(chars, order):
+                pass
+            whole = np.ones(len(chars), dtype=bool)  # no n-gram crosses texts
+            starts = np.cumsum(sizes) - sizes
+            for k in range(order - 1):
+                whole[starts[sizes > k] + k] = False
+            last = np.flatnonzero(whole)
+            new, first, n = np.unique(found[last - order + 1], return_index=True, return_counts=True)
+            at = np.searchsorted(keys, new)
+            known = np.zeros(len(new), dtype=bool)
+            if len(keys):
+                known = keys[np.minimum(at, len(keys) - 1)] == new
+            sums[at[known]] += n[known]
+            fresh = np.flatnonzero(~known)
+            ends = last[first[fresh]].tolist()
+            grams += [text[i - order + 1 : i + 1] for i in ends]
+            keys, sums = np.concatenate([keys, new[fresh]]), np.concatenate([sums, n[fresh]])
+            if len(keys) > 600_000:
+                yield out()
+                keys, sums, grams = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+                continue
+            by = np.argsort(keys, kind="stable")
+            keys, sums, grams = keys[by], sums[by], [grams[i] for i in by.tolist()]
+        if grams:
             yield out()
 
     return texts.select("text").mapInArrow(run, "g string, c long").groupBy("g").agg(F.sum("c").alias("c"))
@@ -140,8 +193,48 @@ def fit(texts: DataFrame, order: int = 5) -> tuple[DataFrame, float]:
     return written(features, "features"), unknown
 
 
-def split_features(features: DataFrame, head: int) -> tuple[dict[str, tuple[float, float]], DataFrame]:
-    """The most frequent rows as a dictionary of at most `head` entries, and the others as a table."""
+class Head:
+    """The most frequent n-grams: their hashes, sorted, with the sums of gains and of logarithms of back-off weights
+    over each n-gram and all its suffixes. Every suffix of an n-gram in the model is in it too and is at least as
+    frequent, so that a head that has an n-gram has its suffixes: the longest n-gram found settles a character."""
+
+    def __init__(self, grams: Sequence[str], gains: np.ndarray, backoffs: np.ndarray):
+        keys, shorter = gram_keys(grams)
+        order = np.argsort(keys)
+        self.keys, shorter = keys[order], shorter[order]
+        self.gain, self.backoff = np.array(gains, dtype=np.float64)[order], np.array(backoffs, dtype=np.float64)[order]
+        sizes = np.fromiter(map(len, grams), np.int64, len(grams))[order]
+        self.index()
+        for n in np.unique(sizes[sizes > 1]):
+            at = np.flatnonzero(sizes == n)
+            suffix = self.find(shorter[at])
+            has = suffix >= 0
+            self.gain[at[has]] += self.gain[suffix[has]]
+            self.backoff[at[has]] += self.backoff[suffix[has]]
+
+    def index(self) -> None:
+        """Where the keys of each value of their upper bits begin."""
+        self.bits = max(1, len(self.keys).bit_length())
+        self.first = np.searchsorted(self.keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The places of keys; -1 for those that aren't there."""
+        part = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.first[part], self.first[part + 1]
+        out = np.full(len(keys), -1, dtype=np.int32)
+        live = np.flatnonzero(at < end)
+        at, end, keys = at[live], end[live], keys[live]
+        while len(live):
+            hit = self.keys[at] == keys
+            out[live[hit]] = at[hit]
+            at += 1
+            more = ~hit & (at < end)
+            live, at, end, keys = live[more], at[more], end[more], keys[more]
+        return out
+
+
+def split_features(features: DataFrame, head: int) -> tuple[Head, DataFrame]:
+    """The most frequent rows, at most `head` of them, and the others as a table."""
     steps = features.groupBy(F.least("occ", F.lit(100_000)).alias("occ")).count().orderBy(F.desc("occ")).collect()
     threshold, taken = 100_001, 0
     for row in steps:
@@ -150,98 +243,88 @@ def split_features(features: DataFrame, head: int) -> tuple[dict[str, tuple[floa
         taken += row["count"]
         threshold = row["occ"]
     top = features.filter(F.col("occ") >= threshold).select("g", "gain", F.coalesce("backoff", F.lit(0.0)).alias("backoff")).toArrow()
-    table = dict(zip(top.column("g").to_pylist(), zip(top.column("gain").to_pylist(), top.column("backoff").to_pylist())))
-    return table, features.filter(F.col("occ") < threshold)
-
-
-def suffix_sums(table: dict[str, tuple[float, float]]) -> dict[str, tuple[float, float]]:
-    """Gains and back-off weights of each n-gram and all its suffixes."""
-    sums: dict[str, tuple[float, float]] = {"": (0.0, 0.0)}
-    for g in sorted(table, key=len):
-        gain, backoff = sums.get(g[1:], (0.0, 0.0))
-        own, weight = table[g]
-        sums[g] = gain + own, backoff + weight
-    return sums
-
-
-class Scorer:
-    """Sums by word, from the head of the table; and which n-grams may be in its tail.
-
-    Every suffix of an n-gram in the model is in it too, and is at least as frequent, so that a head that has an n-gram
-    has its suffixes. Sums over those are kept with each: the longest n-gram found settles a character."""
-
-    def __init__(self, order: int, sums: dict[str, tuple[float, float]], unknown: float, bitmap: bytes | None):
-        self.order, self.sums, self.unknown, self.bitmap = order, sums, unknown, bitmap
-        self.words = Kept(self.word, 150_000)
-
-    def maybe(self, key: int) -> bool:
-        at = (key & MASK) >> (64 - BITS)
-        return bool(self.bitmap[at >> 3] >> (at & 7) & 1)
-
-    def word(self, word: bytes) -> tuple[float, int, tuple[int, ...], tuple[int, ...]]:
-        """Log-probability, characters predicted, keys of what may be in the tail as n-gram and as context. What a
-        context that ends the word would weigh is never asked for."""
-        s, order, sums, bitmap = padded(word.decode("utf-8", "surrogatepass"), self.order), self.order, self.sums, self.bitmap
-        end, gains, backoffs = len(s) - 1, [], []
-        total = self.unknown * (len(s) - order + 1)
-        for i in range(order - 2, end + 1):
-            for n in range(order if i > order - 2 else order - 1, -1, -1):
-                g = s[i + 1 - n : i + 1]
-                known = sums.get(g)
-                if known is not None:
-                    if i > order - 2:
-                        total += known[0]
-                    if i < end:
-                        total += known[1]
-                    break
-                if bitmap is not None and self.maybe(key := tail_key(g)):
-                    if i > order - 2:
-                        gains.append(key)
-                    if i < end and n < order:
-                        backoffs.append(key)
-        return total, len(s) - (order - 1), tuple(gains), tuple(backoffs)
-
-
-MASK = (1 << 64) - 1
-
-
-def tail_key(g: str) -> int:
-    """The same as Spark's xxhash64 of an n-gram."""
-    value = xxhash.xxh64_intdigest(g.encode("utf-8", "surrogatepass"), seed=42)
-    return value - (1 << 64) if value >= 1 << 63 else value
-
-
-_SCORERS: dict[int, Scorer] = {}
-
-
-def score(docs: DataFrame, features: DataFrame, unknown: float, *, order: int = 5, head: int = 250_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    return Head(top.column("g").to_pylist(), top.column("gain").to_numpy(), top.column("backoff").to_numpy()), features.filter(F.col("occ") < threshold)
+
+
+def score_stream(text: str, sizes: np.ndarray, order: int, head: Head, unknown: float, bitmap: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list, list]:
+    """(characters predicted, log-probability) of each piece, and (places, hashes) of what may be in the tail as n-gram
+    of a predicted character and as its context. What a context that ends a piece would weigh isn't asked for."""
+    n_chars = np.maximum(sizes - (order - 1), 0)
+    chars = code_points(text)
+    starts = np.cumsum(sizes) - sizes
+    real = starts[sizes > 0]
+    first, last = real + order - 2, real + sizes[sizes > 0] - 1
+    predicted, context = np.ones(len(chars), dtype=bool), np.ones(len(chars), dtype=bool)
+    for k in range(order - 1):
+        predicted[real + k] = False
+        if k < order - 2:
+            context[real + k] = False
+    context[last] = False
+    gain, backoff = np.zeros(len(chars)), np.zeros(len(chars))
+    keys = dict(ending_at(chars, order))
+    open_at, gains, backoffs = np.flatnonzero(predicted | context), [], []
+    for n in range(order, 0, -1):
+        now = open_at if n < order else open_at[predicted[open_at]]
+        own = keys[n][now - n + 1] if len(now) else np.zeros(0, np.uint64)
+        found = head.find(own)
+        hit = found >= 0
+        gain[now[hit]], backoff[now[hit]] = head.gain[found[hit]], head.backoff[found[hit]]
+        left, own = now[~hit], own[~hit]
+        if bitmap is not None and len(left):
+            may = contains(bitmap, own)
+            asked, key = left[may], own[may]
+            gains.append((asked[predicted[asked]], key[predicted[asked]]))
+            if n < order:
+                backoffs.append((asked[context[asked]], key[context[asked]]))
+        open_at = left if n < order else np.concatenate([left, first])
+    sums = np.concatenate([[0.0], np.cumsum(np.where(predicted, gain, 0.0) + np.where(context, backoff, 0.0))])
+    return n_chars, sums[starts + sizes] - sums[starts] + unknown * n_chars, gains, backoffs
+
+
+def _listed(found: list[tuple[np.ndarray, np.ndarray]], texts: int) -> pa.ListArray:
+    """Of (texts, hashes) a list of hashes for each text."""
+    at = np.concatenate([np.zeros(0, np.int64), *[x for x, _ in found]])
+    keys = np.concatenate([np.zeros(0, np.uint64), *[x for _, x in found]])
+    order = np.argsort(at, kind="stable")
+    offsets = np.searchsorted(at[order], np.arange(texts + 1))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys[order].view(np.int64)))
+
+
+_HEADS: dict[str, tuple] = {}
+
+
+def score(docs: DataFrame, features: DataFrame, unknown: float, *, order: int = 5, head: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """A row per document: doc_id, lang, n_chars (characters predicted), logp (their log-probability)."""
     spark = docs.sparkSession
     ship(spark)
-    table, tail = split_features(features, head)
-    keys = written(tail.select(F.xxhash64("g").alias("key"), "gain", "backoff"), "tail")
+    top, tail = split_features(features, head)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, _ = gram_keys(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(positions(keys).astype(np.int64)), batch.column(1), batch.column(2)], ["key", "p", "gain", "backoff"])
+
+    keys = written(tail.select("g", "gain", "backoff").mapInArrow(hashed, "key long, p long, gain double, backoff double"), "tail")
     some = bool(keys.limit(1).count())
-    bitmap = collect_bitmap(keys.select(F.shiftrightunsigned("key", 64 - BITS).alias("p")), "p", BITS).tobytes() if some else None
-    shared = spark.sparkContext.broadcast((order, suffix_sums(table), unknown, bitmap))
-    name = hash((id(shared), unknown))
+    bitmap = collect_bitmap(keys, "p", BITS) if some else None
+    shared = spark.sparkContext.broadcast((top, bitmap))
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _SCORERS:  # one model a worker at a time
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(*shared.value)
-        words = _SCORERS[name].words
-        for batch in batches:
-            n_chars, logp, gains, backoffs = [], [], [], []
-            with no_collector():
-                for text in batch.column(2):
-                    got = list(map(words.__getitem__, (text.as_py() or "").encode("utf-8", "surrogatepass").split()))
-                    a, b, c, d = zip(*got) if got else ((), (), (), ())
-                    logp.append(float(sum(a)))
-                    n_chars.append(sum(b))
-                    gains.append([k for x in c if x for k in x] if some else [])
-                    backoffs.append([k for x in d if x for k in x] if some else [])
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_chars, pa.int64()), pa.array(logp, pa.float64()), pa.array(gains, lists), pa.array(backoffs, lists)], ["doc_id", "lang", "n_chars", "logp", "gains", "backoffs"])
+        if name not in _HEADS:  # one model a worker at a time
+            _HEADS.clear()
+            _HEADS[name] = shared.value
+        top, bitmap = _HEADS[name]
+        for batch in tidy(batches):
+            texts = batch.num_rows
+            n_chars, logp, asked = np.zeros(texts, np.int64), np.zeros(texts), ([], [])
+            for text, sizes, owners in streams((x.as_py() for x in batch.column(2)), order):
+                n, p, *found = score_stream(text, sizes, order, top, unknown, bitmap)
+                np.add.at(n_chars, owners, n)
+                np.add.at(logp, owners, p)
+                for kept, parts in zip(asked, found):
+                    kept += [(owners[np.searchsorted(np.cumsum(sizes), at, "right")], keys) for at, keys in parts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_chars), pa.array(logp), *[_listed(x, texts) for x in asked]], ["doc_id", "lang", "n_chars", "logp", "gains", "backoffs"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.mapInArrow(run, "doc_id long, lang string, n_chars long, logp double, gains array<long>, backoffs array<long>").withColumn("row", F.monotonically_increasing_id())
@@ -250,7 +333,7 @@ def score(docs: DataFrame, features: DataFrame, unknown: float, *, order: int =
         return rows.drop("row", "gains", "backoffs")
     asked = rows.select("row", F.explode("gains").alias("key"), F.lit(1).alias("g"), F.lit(0).alias("b")).unionByName(rows.select("row", F.explode("backoffs").alias("key"), F.lit(0).alias("g"), F.lit(1).alias("b")))
     asked = asked.groupBy("row", "key").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
-    more = asked.join(keys, "key").groupBy("row").agg(F.sum(F.col("g") * F.col("gain") + F.col("b") * F.coalesce("backoff", F.lit(0.0))).alias("more"))
+    more = asked.join(keys.drop("p"), "key").groupBy("row").agg(F.sum(F.col("g") * F.col("gain") + F.col("b") * F.coalesce("backoff", F.lit(0.0))).alias("more"))
     return rows.drop("gains", "backoffs").join(more, "row", "left").withColumn("logp", F.col("logp") + F.coalesce("more", F.lit(0.0))).drop("row", "more")
 
 
@@ -268,30 +351,43 @@ def trusted_texts(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id"
     bitmap = spark.sparkContext.broadcast(collect_bitmap(ids.mapInArrow(where, "p long"), "p", BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             yield batch.filter(pa.array(contains(bitmap.value, batch.column(0).to_numpy().view(np.uint64))))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     return rows.mapInArrow(run, "doc_id long, text string").join(ids, "doc_id", "left_semi").select("text")
 
 
-def classify(docs: DataFrame, trusted: DataFrame, *, order: int = 5, head: int = 250_000, quantile: float = 0.995, prior: float = 200.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """A row per document: doc_id, lang, n_chars, perplexity (of a character), threshold (the highest accepted), kept."""
-    features, unknown = fit(trusted_texts(docs, trusted, id_col=id_col, text_col=text_col), order)
-    rows = written(score(docs, features, unknown, order=order, head=head, id_col=id_col, text_col=text_col, lang_col=lang_col).withColumn("lang", F.coalesce("lang", F.lit(""))), "scores")
-    known = rows.filter("n_chars > 0").join(trusted.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
+def classify(docs: DataFrame, trusted: DataFrame, *, order: int = 5, head: int = 1 << 20, quantile: float = 0.995, prior: float = 200.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """A row per document: doc_id, lang, n_chars, perplexity (of a character), threshold (the highest accepted), kept.
+    With fewer than two trusted documents those that train the model give the limits too."""
+    rare = 1.0 / (1.0 - quantile)
+    ids = trusted.select(F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL").distinct()
+    aside = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)) == 0
+    judges, teachers = ids.filter(aside), ids.filter(~aside)
+    if not (judges.limit(1).count() and teachers.limit(1).count()):
+        judges = teachers = ids
+    features, unknown = fit(trusted_texts(docs, teachers, id_col=id_col, text_col=text_col), order)
+    scores = score(docs, features, unknown, order=order, head=head, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    rows = written(scores.withColumn("lang", F.coalesce("lang", F.lit(""))), "scores")
+    known = rows.filter("n_chars > 0").join(judges, "doc_id", "left_semi")
     means = known.groupBy("lang").agg((-F.sum("logp") / F.sum("n_chars")).alias("mean"))
     overall = known.agg((-F.sum("logp") / F.sum("n_chars")).alias("mean")).first()["mean"]
     overall = float(overall) if overall is not None else 0.0
-
-    def drawn(df: DataFrame, means: DataFrame) -> DataFrame:
-        mean = F.coalesce(F.col("mean"), F.lit(overall))
-        return df.join(means, "lang", "left").withColumn("drawn", (-F.col("logp") + prior * mean) / (F.col("n_chars") + prior))
-
     small = means.limit(10_001).count() <= 10_000  # languages; otherwise an ordinary join
     hint = F.broadcast if small else (lambda x: x)
-    levels = drawn(known, hint(means)).groupBy("lang").agg(F.percentile_approx("drawn", quantile, 10_000).alias("limit"))
-    all_limit = drawn(known, hint(means)).agg(F.percentile_approx("drawn", quantile, 10_000)).first()[0]
-    limits = drawn(rows, hint(means)).join(hint(levels), "lang", "left").withColumn("limit", F.coalesce("limit", F.lit(all_limit).cast("double")))
+
+    def drawn(df: DataFrame) -> DataFrame:
+        mean = F.coalesce(F.col("mean"), F.lit(overall))
+        return df.join(hint(means), "lang", "left").withColumn("drawn", (-F.col("logp") + prior * mean) / (F.col("n_chars") + prior))
+
+    at = lambda c: F.percentile_approx(c, quantile, 10_000)
+    over = F.col("drawn") - F.col("mean")
+    every, above = drawn(known).agg(at("drawn"), F.greatest(at(over), F.stddev(over) * NormalDist().inv_cdf(quantile))).first()
+    levels = drawn(known).groupBy("lang").agg(at("drawn").alias("own"), F.first("mean").alias("m"), F.count("*").alias("n"))
+    # A language with too few documents for its quantile gets what all languages allow above their means, if that is more:
+    # the quantile, or that of a normal distribution as wide, whichever is larger.
+    levels = levels.select("lang", F.when(F.col("n") >= rare, F.col("own")).otherwise(F.greatest("own", F.col("m") + F.lit(above))).alias("limit"))
+    limits = drawn(rows).join(hint(levels), "lang", "left").withColumn("limit", F.coalesce("limit", F.lit(every).cast("double")))
     kept = (F.col("n_chars") > 0) & F.coalesce(F.col("drawn") <= F.col("limit"), F.lit(False))
     return limits.select("doc_id", "lang", "n_chars", F.when(F.col("n_chars") > 0, F.exp(-F.col("logp") / F.col("n_chars"))).alias("perplexity"), F.exp("limit").alias("threshold"), kept.alias("kept"))

@@ -32,10 +32,9 @@ def test_model_is_a_distribution_and_matches_a_plain_implementation(spark):
         assert abs(total - 1) < 1e-9
     counts = {}
     for t in texts:
-        for w in (t or "").split():
-            s = q.padded(w, 4)
-            for i in range(len(s) - 3):
-                counts[s[i : i + 4]] = counts.get(s[i : i + 4], 0) + 1
+        s = f"\x02\x02 {' '.join((t or '').split())} " if t else ""
+        for i in range(len(s) - 3):
+            counts[s[i : i + 4]] = counts.get(s[i : i + 4], 0) + 1
     got = {r.g: r.c for r in q.count_ngrams(spark.createDataFrame([(t,) for t in texts], "text string"), 4).collect()}
     assert got == counts
     # The highest order by the textbook formula.
@@ -56,6 +55,11 @@ def test_head_and_tail_give_the_same_scores(spark):
     docs = documents(spark, [(i, prose(rnd, 25)) for i in range(30)] + [(50, None), (51, ""), (52, "§§§ ünknown"), (53, "an " * 20000), (None, "th"), (7, "twice"), (7, "twice")])
     features, unknown = q.fit(docs.filter("doc_id < 20").select("text"), order=4)
     a = sorted(rows(q.score(docs, features, unknown, order=4).select("doc_id", "n_chars", F.round("logp", 6))), key=str)
+    table = {r.g: (r.gain, r.backoff) for r in features.collect()}
+    for d, text in rows(docs.select("doc_id", "text")):  # the plain formula, character by character
+        s = f"\x02\x02 {' '.join((text or '').split())} " if text else ""
+        want = sum(log_p(table, unknown, 4, s[i - 3 : i], s[i]) for i in range(3, len(s)))
+        assert (d, max(0, len(s) - 3)) in {(x, n) for x, n, p in a if abs(p - want) < 1e-4}
     for head in (0, 15):
         b = sorted(rows(q.score(docs, features, unknown, order=4, head=head).select("doc_id", "n_chars", F.round("logp", 6))), key=str)
         assert a == b
