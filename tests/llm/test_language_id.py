@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strataloom.llm import language_id as l
@@ -39,3 +42,45 @@ def test_long_text_and_counts(spark):
     text = "The Thing " * 50_000
     assert len(l.ngrams(text, 1 << 10, (1, 2, 3))) == 3 * (len(text) + 1) - 3
     assert l.predict(spark, documents(spark, [(1, text)]), l.train(documents(spark, corpus(3, 40)))).first().lang_pred == "en"
+
+
+def plain_bayes(train, texts, buckets, orders, smoothing):
+    """Multinomial naive Bayes by the textbook, with the operator's own buckets, one n-gram at a time."""
+    sums, seen = {}, {}
+    for text, lang in train:
+        seen[lang] = seen.get(lang, 0) + 1
+        table = sums.setdefault(lang, [0] * buckets)
+        for b in l.ngrams(text, buckets, orders).tolist():
+            table[b] += 1
+    langs, out = sorted(sums), []
+    for text in texts:
+        total = {}
+        for x in langs:
+            whole = sum(sums[x]) + smoothing * buckets
+            total[x] = math.log(seen[x] / sum(seen.values())) + sum(math.log((sums[x][b] + smoothing) / whole) for b in l.ngrams(text, buckets, orders).tolist())
+        best = max(langs, key=lambda x: (total[x], [-ord(c) for c in x]))
+        out.append((best, 1 / sum(math.exp(total[x] - total[best]) for x in langs)))
+    return out
+
+
+def test_scores_match_plain_naive_bayes(spark, monkeypatch):
+    train = [(t, x) for _, t, x in corpus(5, 40)]
+    rnd = random.Random(6)
+    texts = [t[: rnd.randrange(3, 12)] for _, t, _ in corpus(7, 60)] + ["x", "Zzz 12 zz", "the eau ung " * 400]
+    model = l.train(documents(spark, [(i, t, x) for i, (t, x) in enumerate(train)]), buckets=256, smoothing=0.5)
+    want = plain_bayes(train, texts, 256, (1, 2, 3), 0.5)
+    got = {r.doc_id: r for r in l.predict(spark, documents(spark, list(enumerate(texts))), model).collect()}
+    assert [got[i].lang_pred for i in range(len(texts))] == [x for x, _ in want]
+    assert np.allclose([got[i].score for i in range(len(texts))], [p for _, p in want], atol=1e-4)
+    # Slices change nothing, wherever they cut.
+    import pyarrow as pa
+
+    monkeypatch.setattr(l, "SLICE", 50)
+    langs, scores = l.predict_batch(model, pa.array([None, *texts, ""]))
+    assert langs == ["und", *[x for x, _ in want], "und"] and np.allclose(scores[1:-1], [p for _, p in want], atol=1e-4)
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(l, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        l.train(documents(spark, corpus(1, 60)))
