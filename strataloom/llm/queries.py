@@ -139,7 +139,7 @@ FROM w
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.prefix_token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
-    return counts.select("doc_id", "n_bytes", "n_tokens", token_counts.over_limit(F.col("n_tokens")).alias("over_limit"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", token_counts.over_limit(F.col("n_tokens")).alias("over_limit"), "chars_in_budget")
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_ngram_join, op4_packing, op5_quality_lm, op6_quality_rules, op7_language_id, op8_chat_format, op9_warc, op10_token_counts)}

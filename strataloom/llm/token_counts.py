@@ -105,7 +105,7 @@ class PrefixCounter:
         data = text.encode("utf-8", "surrogatepass")
         n = len(data)
         vocab, tails, pairs, states = self.vocab, self.tails, self.pairs, self.states
-        at = n - n % 3
+        at = min(n - n % 3, 63)
         while at and (state := states.get(data[:at])) is None:
             at -= 3
         if at:  # another piece began alike: go on from there
@@ -169,11 +169,17 @@ class PrefixCounter:
         """Deltas of white space and what follows it."""
         if text[0] == " " and text.isascii() and text[1:].isalpha():
             return self.pieces[text]
-        if self.special_pattern and (found := self.special_pattern.search(text)):
+        if not self.special_pattern:
+            return self.plain(text)
+        out, start = [], 0
+        for found in self.special_pattern.finditer(text):
             # Up to the end of the special string it is plain text; then one token stands for it.
-            whole, before = self.plain(text[: found.end()]), self.plain(text[: found.start()])
-            return whole[:-1] + _byte(sum_of(before) + 1 - sum_of(whole[:-1])) + (self.unit(text[found.end() :]) if found.end() < len(text) else b"")
-        return self.plain(text)
+            whole, before = self.plain(text[start : found.end()]), self.plain(text[start : found.start()])
+            out += (whole[:-1], _byte(sum_of(before) + 1 - sum_of(whole[:-1])))
+            start = found.end()
+        if not out:
+            return self.plain(text)
+        return b"".join((*out, self.plain(text[start:])))
 
     def __call__(self, text: str | None) -> bytes:
         """Deltas at each code point of a whole text."""
@@ -226,31 +232,37 @@ def count_at(prefix_counts: bytes, chars: int) -> int:
 
 def longest_prefix(prefix_counts: bytes, budget: int) -> int:
     """The largest number of code points whose prefix has at most `budget` tokens."""
-    sums = np.cumsum(np.frombuffer(zlib.decompress(prefix_counts), np.int8), dtype=np.int64)
+    return longest(zlib.decompress(prefix_counts), budget)
+
+
+def longest(deltas: bytes, budget: int) -> int:
+    sums = np.cumsum(np.frombuffer(deltas, np.int8), dtype=np.int64)
     fits = np.flatnonzero(sums <= budget)
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
-def prefix_token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, n_bytes, n_tokens, prefix_counts (deflated signed bytes, one per code point).
+def prefix_token_counts(docs: DataFrame, vocabulary: str, *, budget: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: doc_id, n_bytes, n_tokens, chars_in_budget (the most code points that have at most `budget`
+    tokens), prefix_counts (deflated signed bytes, one per code point).
 
     No shuffle: each task streams its rows and keeps caches of bounded size. Repeated rows give repeated rows.
     """
     ship(docs.sparkSession)
-    schema = StructType([StructField("doc_id", LongType()), StructField("n_bytes", LongType()), StructField("n_tokens", LongType()), StructField("prefix_counts", BinaryType())])
+    schema = StructType([StructField("doc_id", LongType()), StructField("n_bytes", LongType()), StructField("n_tokens", LongType()), StructField("chars_in_budget", LongType()), StructField("prefix_counts", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary)
         for batch in batches:
-            ids, n_bytes, n_tokens, stored = batch.column(0), [], [], []
+            ids, n_bytes, n_tokens, fitting, stored = batch.column(0), [], [], [], []
             with no_collector():
                 for text in batch.column(1):
                     text = text.as_py() or ""
                     deltas = count(text)
                     n_bytes.append(len(text.encode("utf-8", "surrogatepass")))
                     n_tokens.append(sum_of(deltas))
+                    fitting.append(len(text) if n_tokens[-1] <= budget else longest(deltas, budget))
                     stored.append(zlib.compress(deltas, 1))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(stored, pa.binary())], ["doc_id", "n_bytes", "n_tokens", "prefix_counts"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(fitting, pa.int64()), pa.array(stored, pa.binary())], ["doc_id", "n_bytes", "n_tokens", "chars_in_budget", "prefix_counts"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 

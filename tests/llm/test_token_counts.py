@@ -45,3 +45,17 @@ def test_budget_questions():
     for budget in range(9):
         best = max(k for k in range(len(text) + 1) if len(library.encode(text[:k], add_special_tokens=False).ids) <= budget)
         assert t.longest_prefix(stored, budget) == best
+
+
+def test_many_special_strings_and_one_long_word(spark):
+    library = Tokenizer.from_file(PATH)
+    special, word, run = "<|endoftext|>" * 100_000, "abcdefghij" * 100_000, "日本語" * 100_000
+    mixed = "a<|endoftext|>b, <|endoftext|><|endof" * 500
+    docs = [(1, special), (2, word), (3, run), (4, mixed), (5, "short " * 2000)]
+    out = {r.doc_id: r for r in t.prefix_token_counts(documents(spark, docs), PATH).collect()}
+    assert out[1].n_tokens == 100_000 and out[1].n_bytes == len(special)
+    for d, text in docs[1:]:
+        assert out[d].n_tokens == len(library.encode(text, add_special_tokens=False).ids)
+    for d, text in docs:
+        k = out[d].chars_in_budget
+        assert len(library.encode(text[:k], add_special_tokens=False).ids) <= 1024 < len(library.encode(text[: k + 1], add_special_tokens=False).ids)
