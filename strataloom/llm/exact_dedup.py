@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from .common import free_name, lower_ascii, shared_dir
 
 
+#: Of texts with copies, so many at most are broadcast.
+BROADCAST_GROUPS = 500_000
+
+
 def digest(text: Column) -> Column:
     """Lower-case hex SHA-256 of the normalised text in UTF-8."""
     return F.sha2(F.encode(lower_ascii(text), "UTF-8"), 256)
@@ -48,16 +52,38 @@ def duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", heavy: int = 256, tracked: int = 1024) -> DataFrame:
-    """The rows of docs that stay, all columns as they were (also such as clash with names used here)."""
+    """The rows of docs that stay, all columns as they were (also such as clash with names used here).
+
+    Digests and ids alone are shuffled. Of texts that have copies, digest and best id are joined back to the rows: by a
+    broadcast of at most BROADCAST_GROUPS groups, of more by a shuffle. Rows that repeat text and id of a winner are
+    combined before they are shuffled."""
     shared_dir(docs.sparkSession)
-    sha, known, best, rank = free_name(docs, "text_sha256", "known", "best", "rank")
-    digests = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("sha")).checkpoint()
-    winners = (
-        digests.join(F.broadcast(frequent_digests(digests, "sha", heavy, tracked)), "sha", "left_semi")
-        .groupBy("sha").agg(F.max("doc_id").alias("best")).checkpoint()
-    )
-    small = winners.select(F.col("sha").alias(known), F.col("best").alias(best))
+    sha, group = free_name(docs, "text_sha256", "group")
+    digests = docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("sha")).checkpoint()
+
+    def groups(rows: DataFrame) -> DataFrame:
+        """sha, the best id with the number of its rows, for texts that occur twice or more."""
+        by_id = rows.groupBy("sha", "id").agg(F.count("*").alias("rows"))
+        top = F.max(F.struct(F.col("id").isNotNull().alias("known"), "id", "rows")).alias("best")
+        return by_id.groupBy("sha").agg(top, F.sum("rows").alias("size")).filter("size > 1").drop("size").checkpoint()
+
+    hot = groups(digests.join(F.broadcast(frequent_digests(digests, "sha", heavy, tracked)), "sha", "left_semi"))
+    cold = groups(digests.join(F.broadcast(hot.select("sha")), "sha", "left_anti"))
+
+    def settled(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """Without the losers of the groups found; winners get their group."""
+        own = found.select(F.struct("*").alias(group))
+        rows = rows.join(own, rows[sha] == own[f"{group}.sha"], "left")
+        return rows.filter(F.col(group).isNull() | F.col(id_col).eqNullSafe(F.col(f"{group}.best.id")))
+
     rows = docs.withColumn(sha, digest(F.col(text_col)))
-    rows = rows.join(F.broadcast(small), rows[sha] == small[known], "left").filter(F.col(known).isNull() | F.col(id_col).eqNullSafe(F.col(best)))
-    order = Window.partitionBy(sha).orderBy(F.col(id_col).desc_nulls_last())
-    return rows.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    if cold.count() <= BROADCAST_GROUPS:
+        rows = settled(rows, F.broadcast(hot.unionByName(cold)))
+    else:
+        rows = settled(settled(rows, F.broadcast(hot)).drop(group), cold)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if not hot.unionByName(cold).filter("best.rows > 1").limit(1).count():
+        return rows.select(*columns)
+    repeated = F.coalesce(F.col(f"{group}.best.rows") > 1, F.lit(False))
+    once = rows.filter(repeated).groupBy(sha).agg(F.first(F.struct(*columns)).alias(group)).select(f"{group}.*")
+    return rows.filter(~repeated).select(*columns).unionByName(once)

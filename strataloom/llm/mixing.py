@@ -4,15 +4,17 @@ Sources form a tree domain - language - source. A budget of tokens goes down fro
 parent has in proportion to their weights, none more than it can supply (its tokens times max_epochs). What a node
 can't use goes to its siblings by their weights; only what all siblings together can't use stays unspent at the
 parent, whose own siblings have taken it before, since capacities are added up the tree first. Shares are rounded
-down to whole tokens.
+down to whole tokens. Windows run over the nodes of the tree alone (over all domains, over the children of a node) and over
+the hash ranges of a leaf: what they bring into one task is bounded by the tree and by 4,096 ranges, not by the rows.
 
 A leaf draws whole epochs first, then a token-prefix of the next one: its documents in the order of a hash of seed,
 epoch and id, as long as the running token count stays within what is left. The running count is distributed: token
-sums of 4,096 hash ranges a leaf give the range in which the cut falls, and only that range is ordered row by row.
-No row carries its text through a shuffle but those of the cut ranges.
+sums of 4,096 hash ranges a leaf give the range in which the cut falls, and only that range is ordered row by row, as
+order key, id and tokens. What it gives is the last row that is drawn; no row carries its text through a shuffle.
 
 Tokens are words here, unless a column is named. Null levels count as an empty name; a null id hashes as empty text;
-leaves with weight 0 or without tokens draw nothing. Repeated rows count and are drawn as often as they occur.
+leaves with weight 0 or without tokens draw nothing. Repeated rows count and are drawn as often as they occur; at the cut
+they are drawn or left together.
 """
 
 from __future__ import annotations
@@ -103,8 +105,14 @@ def mix(docs: DataFrame, *, domain: Column | None = None, fraction: float | None
     ranges = part.groupBy(*LEVELS, "rest", F.substring(order(F.col("full_epochs") + 1), 1, 3).alias("range")).agg(F.sum("n").alias("n"))
     to = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = ranges.withColumn("upto", F.sum("n").over(to)).filter("upto > rest").groupBy(*LEVELS).agg(F.min_by(F.struct("range", (F.col("upto") - F.col("n")).alias("before")), "range").alias("cut"))
-    cuts = plan.join(cut, list(LEVELS), "left").select(*LEVELS, *info, F.col("cut.range").alias("range"), F.col("cut.before").alias("before")).select(F.struct("*").alias("p")).checkpoint()
-    # Whole rows: what is drawn needs no shuffle but in the cut range.
+    cuts = plan.join(cut, list(LEVELS), "left").select(*LEVELS, *info, F.col("cut.range").alias("range"), F.col("cut.before").alias("before")).checkpoint()
+    # The last row drawn of the range in which the cut falls.
+    place = lambda key: F.struct(key.alias("key"), "id", "n")
+    near = narrow.join(hint(cuts.filter("rest > 0 AND range IS NOT NULL")), list(LEVELS)).withColumn("place", place(order(F.col("full_epochs") + 1))).filter(F.substring("place.key", 1, 3) == F.col("range"))
+    run = Window.partitionBy(*LEVELS).orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = near.withColumn("upto", F.col("before") + F.sum("n").over(run)).filter("upto <= rest").groupBy(*LEVELS).agg(F.max("place").alias("last"))
+    cuts = cuts.join(last, list(LEVELS), "left").select(F.struct("*").alias("p")).checkpoint()
+    # Whole rows: what is drawn needs no shuffle.
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), leaf.alias("leaf"), F.col(id_col).alias("id"), tokens.alias("n"))
     same = F.col("leaf.domain") == F.col("p.domain")
     for x in LEVELS[1:]:
@@ -112,8 +120,6 @@ def mix(docs: DataFrame, *, domain: Column | None = None, fraction: float | None
     held = held.join(hint(cuts), same).withColumn("key", order(F.col("p.full_epochs") + 1)).withColumn("range", F.substring("key", 1, 3))
     whole = held.filter("p.full_epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("p.full_epochs")))).withColumn("key", order(F.col("epoch")))
     partial = held.filter("p.rest > 0").withColumn("epoch", F.col("p.full_epochs") + 1)
-    sure = partial.filter("p.range IS NULL OR range < p.range")
-    run = Window.partitionBy("leaf").orderBy("key", "id", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = partial.filter("range = p.range").withColumn("upto", F.col("p.before") + F.sum("n").over(run)).filter("upto <= p.rest").drop("upto")
-    out = whole.unionByName(sure).unionByName(edge)
+    partial = partial.filter(F.col("p.range").isNull() | (F.col("range") < F.col("p.range")) | ((F.col("range") == F.col("p.range")) & (place(F.col("key")) <= F.col("p.last"))))
+    out = whole.unionByName(partial)
     return out.select("row.*", F.struct("leaf.domain", "leaf.lang", "leaf.source", F.col("n").alias("tokens"), "epoch", F.col("key").alias("order_key"), F.col("p.budget").alias("leaf_budget")).alias(mixed))
