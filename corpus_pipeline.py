@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strataloom.llm import exact_dedup, mixing, ngram_join, packing, quality_rules
-from strataloom.llm.common import written
+from strataloom.llm.common import discard, written
 from strataloom.llm.queries import domain, table, vocabulary
 
 #: Targets of the mix: weights of siblings in the tree of domain, language and source; 1 where none is given.
@@ -59,8 +59,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs, name)
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if i:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
