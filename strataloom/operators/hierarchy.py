@@ -1,13 +1,21 @@
-"""Ancestors, descendants, paths and cycles of elements in a parent hierarchy, for any number of models at once."""
+"""Ancestors, descendants, paths and cycles of elements in a parent hierarchy, for any number of models at once.
+
+Elements that are somebody's parent are few beside all elements. Their ways to the top are found first, as arrays, by
+pointer doubling: depth d takes log2(d) rounds. All elements then join their parent's way once, and whatever is asked of
+ancestors (nearest visible, system, path) is an expression over that array. An element with very many children is a
+skewed key of that one join, which adaptive execution splits.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.durable import shared_dir
 
 KEY = ["model_id", "id"]
+#: A table of ids up to this many rows is broadcast; its size is checked first.
+BROADCAST_IDS = 100_000
 
 
 def last_by_id(elements: DataFrame, *columns: str) -> DataFrame:
@@ -21,111 +29,106 @@ def parents(elements: DataFrame) -> DataFrame:
     return last_by_id(elements, "parent_id")
 
 
-def ancestor_closure(elements: DataFrame, levels: int = 5) -> DataFrame:
-    """(model_id, id, anc, depth): each element with itself at depth 0 and all its ancestors. Unrolled joins find them
-    in hierarchies of at most `levels` levels; walks that go on from there are carried on by pointer doubling. A parent
-    that doesn't exist is an ancestor, and ends the walk. On a cycle each pair stands once, at its least depth."""
-    shared_dir(elements.sparkSession)
-    up = parents(elements)
-    step = up.select("model_id", F.col("id").alias("anc"), F.col("parent_id").alias("next"))
-    row = up.select("model_id", "id", F.array("id", "parent_id").alias("path"), F.col("parent_id").alias("anc"))
-    for _ in range(levels - 2):
-        row = row.join(step, ["model_id", "anc"], "left").select("model_id", "id", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("anc"))
-    row = row.checkpoint()
-    pairs = row.select("model_id", "id", F.posexplode("path").alias("depth", "anc")).filter("anc IS NOT NULL").select("model_id", "id", "anc", "depth")
-    # Where walks stand now: with an element its parent is among these, too.
-    tops = row.filter("anc IS NOT NULL").select("model_id", F.col("anc").alias("id")).distinct()
-    above = up.filter("parent_id IS NOT NULL").join(tops, KEY, "left_semi").checkpoint()
-    if not above.limit(1).count():
-        return pairs
-    far = _doubled(above).select("model_id", F.col("id").alias("top"), F.col("anc").alias("far"), "depth")
-    more = row.select("model_id", "id", F.col("anc").alias("top")).join(far, ["model_id", "top"]).select("model_id", "id", F.col("far").alias("anc"), (F.col("depth") + (levels - 1)).alias("depth"))
-    return pairs.unionByName(more).groupBy("model_id", "id", "anc").agg(F.min("depth").alias("depth"))
-
-
-def deep_closure(elements: DataFrame, max_doublings: int = 32) -> DataFrame:
-    """The closure at any depth, by pointer doubling; lineage is cut with checkpoint() each round.
-
-    Each round joins the pairs found with themselves, so that depth d takes log2(d) rounds. On a cycle every member
-    is its own ancestor at the cycle's length; the least depth of each pair is kept, so rounds end there too.
-    """
+def chains(elements: DataFrame, *columns: str, marked: DataFrame | None = None, rounds: int = 64) -> DataFrame:
+    """(model_id, id, path, loop): path is the element and its ancestors up to the top, as structs of id, found (false for a
+    parent that doesn't exist, which ends the way), the columns named, and is_marked (whether the id is among
+    marked(model_id, id)). On a cycle everything stands once, and loop is the id at which the way meets itself: the
+    element's own if it is on the cycle, another's if it is below one."""
     shared_dir(elements.sparkSession)
-    pairs = _doubled(parents(elements).filter("parent_id IS NOT NULL"), max_doublings)
-    return parents(elements).select("model_id", "id", F.col("id").alias("anc"), F.lit(0).alias("depth")).unionByName(pairs)
-
-
-def _doubled(up: DataFrame, max_doublings: int = 32) -> DataFrame:
-    """(model_id, id, anc, depth) from depth 1 on, of up(model_id, id, parent_id)."""
-    pairs = up.select("model_id", "id", F.col("parent_id").alias("anc"), F.lit(1).alias("depth")).checkpoint()
-    before = pairs.count()
-    for _ in range(max_doublings):
-        onward = pairs.select("model_id", F.col("id").alias("anc"), F.col("anc").alias("far"), F.col("depth").alias("more"))
-        longer = pairs.join(onward, ["model_id", "anc"]).select("model_id", "id", F.col("far").alias("anc"), (F.col("depth") + F.col("more")).alias("depth"))
-        pairs = pairs.unionByName(longer).groupBy("model_id", "id", "anc").agg(F.min("depth").alias("depth")).checkpoint()
-        now = pairs.count()
-        if now == before:
+    up = last_by_id(elements, "parent_id", *columns).withColumn("found", F.lit(True))
+    if marked is not None:
+        ids = marked.select(*KEY).distinct().withColumn("is_marked", F.lit(True)).checkpoint()
+        few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    with_marks = lambda df: df.join(few, KEY, "left").withColumn("is_marked", F.col("is_marked").isNotNull()) if marked is not None else df.withColumn("is_marked", F.lit(False))
+    up = with_marks(up).checkpoint()
+    node = F.struct("id", "found", "is_marked", *columns)
+    # Ways of parents, those that don't exist among them.
+    inner = up.filter("parent_id IS NOT NULL").select("model_id", F.col("parent_id").alias("id")).distinct()
+    known = inner.join(up, KEY)
+    lost = with_marks(inner.join(up, KEY, "left_anti").withColumns({"parent_id": F.lit(None).cast("string"), "found": F.lit(False)} | {c: F.lit(None).cast(up.schema[c].dataType) for c in columns}))
+    way = known.select(*up.columns).unionByName(lost.select(*up.columns)).select(*KEY, F.array(node).alias("path"), F.col("parent_id").alias("next"), F.lit(None).cast("string").alias("loop")).checkpoint()
+    for _ in range(rounds):
+        if not way.filter("next IS NOT NULL").limit(1).count():
             break
-        before = now
-    return pairs
+        onward = way.select("model_id", F.col("id").alias("next"), F.col("path").alias("tail"), F.col("next").alias("after"), F.col("loop").alias("tail_loop"))
+        both = way.join(onward, ["model_id", "next"], "left")
+        own = F.transform("path", lambda x: x["id"])
+        again = F.filter("tail", lambda x: F.array_contains(F.col("own"), x["id"]))
+        both = both.withColumn("own", own).withColumn("again", again)
+        met = F.col("tail").isNotNull() & (F.size("again") > 0)
+        path = F.when(F.col("tail").isNull(), F.col("path")).otherwise(F.concat("path", F.filter("tail", lambda x: ~F.array_contains(F.col("own"), x["id"]))))
+        way = both.select(*KEY, path.alias("path"), F.when(~met, F.col("after")).alias("next"), F.when(met, F.col("again")[0]["id"]).otherwise(F.coalesce("loop", "tail_loop")).alias("loop")).checkpoint()
+    else:
+        raise RuntimeError(f"ways to the top don't end in {rounds} rounds")
+    above = way.select("model_id", F.col("id").alias("parent_id"), F.col("path").alias("above"), F.col("loop").alias("above_loop"))
+    rows = up.join(above, ["model_id", "parent_id"], "left")
+    itself = F.col("above").isNotNull() & F.exists("above", lambda x: x["id"] == F.col("id"))
+    path = F.when(F.col("above").isNull(), F.array(node)).otherwise(F.concat(F.array(node), F.filter("above", lambda x: x["id"] != F.col("id"))))
+    return rows.select(*KEY, path.alias("path"), F.when(itself, F.col("id")).otherwise(F.col("above_loop")).alias("loop"))
+
+
+def first_of(path: Column | str, test) -> Column:
+    """The first node of a way that passes a test, or null."""
+    return F.get(F.filter(path, test), F.lit(0))
+
+
+def ancestor_closure(elements: DataFrame) -> DataFrame:
+    """(model_id, id, anc, depth): each element with itself at depth 0 and all its ancestors, at any depth. A parent that
+    doesn't exist is an ancestor, and ends the way. On a cycle each pair stands once, at its least depth."""
+    return chains(elements).select(*KEY, F.posexplode(F.transform("path", lambda x: x["id"])).alias("depth", "anc")).select(*KEY, "anc", "depth")
 
 
 def cycles(elements: DataFrame) -> DataFrame:
     """(model_id, id, on_cycle): elements on a parent cycle, or below one."""
-    closure = deep_closure(elements)
-    on = closure.filter("depth > 0 AND id = anc").select("model_id", F.col("id").alias("anc"))
-    return closure.join(on, ["model_id", "anc"]).groupBy("model_id", "id").agg(F.bool_or((F.col("anc") == F.col("id")) & (F.col("depth") > 0)).alias("on_cycle"))
+    return chains(elements).filter("loop IS NOT NULL").select(*KEY, (F.col("loop") == F.col("id")).alias("on_cycle"))
 
 
-def nearest(closure: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
-    """(model_id, id, name): the nearest ancestor-or-self among wanted(model_id, id)."""
-    hits = closure.join(wanted.select("model_id", F.col("id").alias("anc")).distinct(), ["model_id", "anc"])
-    return hits.groupBy(*KEY).agg(F.min_by("anc", "depth").alias(name))
+def nearest_visible(elements: DataFrame, visible: DataFrame) -> DataFrame:
+    """(model_id, id, visible_id). A visible id that no element has is its own nearest visible ancestor."""
+    return ends(elements, visible).filter("visible_id IS NOT NULL").select(*KEY, "visible_id")
 
 
-def nearest_visible(elements: DataFrame, visible: DataFrame, closure: DataFrame | None = None) -> DataFrame:
-    """(model_id, id, visible_id). A visible id that no element has is its own nearest visible ancestor."""
-    closure = ancestor_closure(elements) if closure is None else closure
-    found = nearest(closure, visible, "visible_id")
-    alone = visible.select(*KEY).distinct().join(elements.select(*KEY), KEY, "left_anti").withColumn("visible_id", F.col("id"))
-    return found.unionByName(alone)
+def ends(elements: DataFrame, visible: DataFrame) -> DataFrame:
+    """(model_id, id, visible_id, system_id, shown, system_shown): the nearest visible ancestor-or-self and the nearest
+    that is a system or a person, and whether the element and that system are visible themselves."""
+    rows = chains(elements, "kind", marked=visible).withColumn("system", first_of("path", lambda x: x["kind"].isin("system", "person")))
+    seen = first_of("path", lambda x: x["is_marked"])["id"]
+    rows = rows.select(*KEY, seen.alias("visible_id"), F.col("system.id").alias("system_id"), F.col("path")[0]["is_marked"].alias("shown"), F.coalesce("system.is_marked", F.lit(False)).alias("system_shown"))
+    alone = visible.select(*KEY).distinct().join(elements.select(*KEY), KEY, "left_anti")
+    return rows.unionByName(alone.select(*KEY, F.col("id").alias("visible_id"), F.lit(None).cast("string").alias("system_id"), F.lit(True).alias("shown"), F.lit(False).alias("system_shown")))
 
 
-def system_ancestor(elements: DataFrame, closure: DataFrame | None = None) -> DataFrame:
+def system_ancestor(elements: DataFrame) -> DataFrame:
     """(model_id, id, system_id): the nearest ancestor-or-self that is a system or a person."""
-    closure = ancestor_closure(elements) if closure is None else closure
-    return nearest(closure, last_by_id(elements, "kind").filter(F.col("kind").isin("system", "person")), "system_id")
+    system = first_of("path", lambda x: x["kind"].isin("system", "person"))["id"]
+    return chains(elements, "kind").select(*KEY, system.alias("system_id")).filter("system_id IS NOT NULL")
 
 
-def _names(elements: DataFrame, closure: DataFrame, *more: str) -> DataFrame:
-    names = last_by_id(elements, "name", *more).withColumnRenamed("id", "anc")
-    return closure.join(names, ["model_id", "anc"])
+def found_names(path: str, field: str = "name") -> Column:
+    """A field of a way's nodes from the root down; ancestors that don't exist have none."""
+    return F.transform(F.reverse(F.filter(path, lambda x: x["found"])), lambda x: x[field])
 
 
-def element_path(elements: DataFrame, closure: DataFrame | None = None) -> DataFrame:
+def element_path(elements: DataFrame) -> DataFrame:
     """(model_id, id, path): names from the root down, joined by ` > `. An ancestor that doesn't exist has no name."""
-    closure = ancestor_closure(elements) if closure is None else closure
-    named = _names(elements, closure)
-    rows = named.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("depth", "name")), asc=False).alias("steps"))
-    return rows.select(*KEY, F.array_join(F.transform("steps", lambda x: x["name"]), " > ").alias("path"))
+    return chains(elements, "name").select(*KEY, F.array_join(found_names("path"), " > ").alias("path"))
 
 
 def breadcrumbs(elements: DataFrame, foci: DataFrame) -> DataFrame:
     """foci(model_id, focus_id, level) -> (model_id, focus_id, level, crumbs array<struct<label, level>>): the landscape
     first; then, but for a missing focus or at landscape level, the ancestors from the top that are neither landscape
     nor person, each with the level that it opens. The walk stops at a landscape."""
-    closure = ancestor_closure(elements)
-    steps = _names(elements, closure, "kind").join(foci.select("model_id", F.col("focus_id").alias("id")).distinct(), KEY, "left_semi")
-    stop = steps.filter("kind = 'landscape'").groupBy(*KEY).agg(F.min("depth").alias("stop"))
-    steps = steps.join(stop, KEY, "left").filter("(stop IS NULL OR depth < stop) AND kind NOT IN ('landscape', 'person')")
-    lists = steps.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("depth", "name", "kind")), asc=False).alias("steps")).withColumnRenamed("id", "focus_id")
+    asked = foci.select("model_id", F.col("focus_id").alias("id")).distinct()
+    ways = chains(elements, "name", "kind").join(asked, KEY, "left_semi")
+    below = F.aggregate("path", F.struct(F.lit(False).alias("ended"), F.array().cast("array<struct<label:string,level:string>>").alias("steps")), lambda s, x: F.when(s["ended"] | F.coalesce(x["kind"] == "landscape", F.lit(False)), F.struct(F.lit(True).alias("ended"), s["steps"].alias("steps"))).when(~x["found"] | F.coalesce(x["kind"] == "person", F.lit(False)), s).otherwise(F.struct(F.lit(False).alias("ended"), F.concat(F.array(F.struct(x["name"].alias("label"), x["kind"].alias("level"))), s["steps"]).alias("steps"))))
+    lists = ways.select("model_id", F.col("id").alias("focus_id"), below["steps"].alias("steps"))
     first = F.array(F.struct(F.lit("System Landscape").alias("label"), F.lit("landscape").alias("level")))
-    rest = F.transform(F.coalesce("steps", F.array().cast("array<struct<depth:int,name:string,kind:string>>")), lambda s: F.struct(s["name"].alias("label"), s["kind"].alias("level")))
     plain = F.col("focus_id").isNull() | (F.col("level") == "landscape")
+    rest = F.coalesce("steps", F.array().cast("array<struct<label:string,level:string>>"))
     return foci.join(lists, ["model_id", "focus_id"], "left").select("model_id", "focus_id", "level", F.when(plain, first).otherwise(F.concat(first, rest)).alias("crumbs"))
 
 
-def descendants(elements: DataFrame, ids: DataFrame, closure: DataFrame | None = None) -> DataFrame:
+def descendants(elements: DataFrame, ids: DataFrame) -> DataFrame:
     """(model_id, root_id, id): all strict descendants of ids(model_id, id). Bounded on cycles, too."""
-    closure = ancestor_closure(elements) if closure is None else closure
-    roots = ids.select("model_id", F.col("id").alias("anc")).distinct()
-    return closure.filter("depth > 0 AND id <> anc").join(roots, ["model_id", "anc"], "left_semi").select("model_id", F.col("anc").alias("root_id"), "id").distinct()
+    above = F.filter("path", lambda x: x["is_marked"] & (x["id"] != F.col("id")))
+    return chains(elements, marked=ids).select("model_id", F.explode(F.transform(above, lambda x: x["id"])).alias("root_id"), "id")

@@ -33,13 +33,8 @@ def _lifted(rels: DataFrame, elements: DataFrame, visible: DataFrame) -> DataFra
 
     Both ends inside the view: lifted, unless both lift to one element. One end outside: its system or person stands
     for it, unless that is visible or missing. Both outside: dropped."""
-    closure = hierarchy.ancestor_closure(elements)
-    at = hierarchy.nearest_visible(elements, visible, closure)
-    top = hierarchy.system_ancestor(elements, closure)
-    ends = at.join(top, KEY, "full_outer")
-    shown = visible.select(*KEY).distinct()
-    ends = ends.join(shown.select(*KEY, F.lit(True).alias("shown")), KEY, "left").join(shown.select("model_id", F.col("id").alias("system_id"), F.lit(True).alias("system_shown")), ["model_id", "system_id"], "left")
-    side = lambda p: ends.select("model_id", F.col("id").alias(f"{p}_id"), F.col("visible_id").alias(f"{p}_visible"), F.when(F.col("system_shown").isNull(), F.col("system_id")).alias(f"{p}_outside"), F.coalesce("shown", F.lit(False)).alias(f"{p}_shown"))
+    ends = hierarchy.ends(elements, visible).filter("visible_id IS NOT NULL OR system_id IS NOT NULL").checkpoint()
+    side = lambda p: ends.select("model_id", F.col("id").alias(f"{p}_id"), F.col("visible_id").alias(f"{p}_visible"), F.when(~F.col("system_shown"), F.col("system_id")).alias(f"{p}_outside"), F.col("shown").alias(f"{p}_shown"))
     rows = rels.join(side("source"), ["model_id", "source_id"], "left").join(side("target"), ["model_id", "target_id"], "left")
     rows = rows.filter(~(F.coalesce("source_shown", F.lit(False)) & F.coalesce("target_shown", F.lit(False))))
     one = F.col("source_visible").isNotNull() != F.col("target_visible").isNotNull()
