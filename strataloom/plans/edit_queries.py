@@ -255,11 +255,11 @@ _SLINES = "SELECT DISTINCT o_custkey, l_orderkey, l_suppkey FROM lineitem JOIN o
 UNION ALL SELECT CAST(o_custkey AS STRING), 'element', 'component', 'Order ' || o_orderkey::VARCHAR, NULL, c_name FROM orders JOIN customer ON o_custkey = c_custkey
 UNION ALL SELECT CAST(o_custkey AS STRING), 'element', 'code', 'Supply ' || l_orderkey::VARCHAR || ' ' || l_suppkey::VARCHAR, NULL, 'Order ' || l_orderkey::VARCHAR FROM ({_SLINES})
 UNION ALL SELECT CAST(o_custkey AS STRING), 'relationship', l_returnflag, 'Order ' || l_orderkey::VARCHAR, 'Supply ' || l_orderkey::VARCHAR || ' ' || l_suppkey::VARCHAR, NULL FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-UNION ALL SELECT CAST(c_custkey AS STRING), 'version', NULL, '1.0.0', NULL, NULL FROM customer""")
+UNION ALL SELECT CAST(c_custkey AS STRING), 'version', NULL, '1', NULL, NULL FROM customer""")
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is read back from the rendered models: the very elements and relationships that were rendered."""
     docs = render_text(spark, sf_dir).withColumnRenamed("model_id", "doc_id")
-    found = text.statements(text.tokenise(docs))
+    found = text.statements(docs)
     names = found.select("doc_id", F.col("pos").alias("parent_pos"), F.col("name").alias("parent"))
     kind = F.when(F.col("type") == "relationship", F.element_at("attributes", "type")).otherwise(F.col("kind"))
     return found.join(names, ["doc_id", "parent_pos"], "left").select("doc_id", "type", kind.alias("kind"), "name", "target", "parent")
@@ -269,13 +269,13 @@ def spoilt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered models, four in five with a fault by the customer's key."""
     docs = render_text(spark, sf_dir).withColumnRenamed("model_id", "doc_id").join(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("doc_id"), "c_name"), "doc_id")
     k, body = F.col("doc_id").cast("long") % 5, F.col("text")
-    fault = F.when(k == 1, F.replace(body, F.lit('"1.0.0"'), F.lit('"2.0.0"'))).when(k == 2, F.concat(body, F.lit('container "'), "c_name", F.lit('"'))).when(k == 3, F.concat(body, F.lit('"ghost" -> "'), "c_name", F.lit('"'))).when(k == 4, F.lit('version "1.0.0" # nothing')).otherwise(body)
+    fault = F.when(k == 1, F.replace(body, F.lit('version "1"'), F.lit('version "2.0.0"'))).when(k == 2, F.concat(body, F.lit('container "'), "c_name", F.lit('"'))).when(k == 3, F.concat(body, F.lit('"ghost" -> "'), "c_name", F.lit('"'))).when(k == 4, F.lit('version "1" # nothing')).otherwise(body)
     return docs.select("doc_id", fault.alias("text"))
 
 
 @query("""SELECT c_custkey::VARCHAR AS doc_id, CASE c_custkey % 5 WHEN 1 THEN 'UNSUPPORTED_VERSION' WHEN 2 THEN 'DUPLICATE_NAME' WHEN 3 THEN 'UNRESOLVED_REFERENCE' ELSE 'EMPTY_DOCUMENT' END AS error_code, CASE c_custkey % 5 WHEN 2 THEN c_name WHEN 3 THEN 'ghost' END AS element_name FROM customer WHERE c_custkey % 5 <> 0""")
 def document_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.document_checks(text.tokenise(spoilt_texts(spark, sf_dir))).select("doc_id", "error_code", "element_name")
+    return text.document_checks(spoilt_texts(spark, sf_dir)).select("doc_id", "error_code", "element_name")
 
 
 @query(f"""WITH c AS (SELECT c_custkey, {SLUG.format('c_name')} AS slug, c_name FROM customer), o AS (SELECT o.o_orderkey, c.c_custkey, c.slug || '.order-' || o_orderkey::VARCHAR AS slug, c.slug AS up FROM orders o JOIN c ON o.o_custkey = c.c_custkey)
@@ -283,7 +283,7 @@ SELECT c_custkey::VARCHAR AS model_id, slug AS id, 'container' AS kind, c_name A
 UNION ALL SELECT o.c_custkey::VARCHAR, o.slug || '.supply-' || l_orderkey::VARCHAR || '-' || l_suppkey::VARCHAR, 'code', 'Supply ' || l_orderkey::VARCHAR || ' ' || l_suppkey::VARCHAR, o.slug FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN o ON l_orderkey = o_orderkey""")
 def assemble_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = render_text(spark, sf_dir).withColumnRenamed("model_id", "doc_id")
-    return text.assemble(text.statements(text.tokenise(docs)))[0].select("model_id", "id", "kind", "name", "parent_id")
+    return text.assemble(text.statements(docs))[0].select("model_id", "id", "kind", "name", "parent_id")
 
 
 @query()

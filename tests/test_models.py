@@ -119,7 +119,7 @@ def test_layout(spark):
 def test_text_round_trip(spark):
     e = shop(spark)
     r = rels(spark, ("r1", "a1", "b1"), ("r2", "p", "a"))
-    found = text.statements(text.tokenise(text.render_text(e, r).withColumnRenamed("model_id", "doc_id"))).collect()
+    found = text.statements(text.render_text(e, r).withColumnRenamed("model_id", "doc_id")).collect()
     names = {x.pos: x.name for x in found}
     assert {(x.kind, x.name, names.get(x.parent_pos)) for x in found if x.type == "element"} == {(x.kind, x.name, (x.parent_id or "").upper() or None) for x in e.collect()}
     assert {(x.name, x.target, x.attributes["type"]) for x in found if x.type == "relationship"} == {("A1", "B1", "uses"), ("P", "A", "uses")}
@@ -150,3 +150,40 @@ def test_newest_edit_wins(spark):
     state = upkeep.merge(state, spark.createDataFrame([row(4, "delete", t[4])], upkeep.SCHEMA))
     state = upkeep.merge(state, spark.createDataFrame([row(5, "put", t[0])], upkeep.SCHEMA))
     assert upkeep.current(state).count() == 0
+
+
+def codes(spark, *texts):
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    out = {str(i): [] for i in range(len(texts))}
+    for r in text.document_checks(docs).orderBy("doc_id", "line").collect():
+        out[r.doc_id].append((r.error_code, r.line))
+    return list(out.values())
+
+
+def test_document_errors(spark):
+    found = codes(
+        spark, 'System "Web App"', "system {", 'system "A"\n"A" -> ', "@@@ $$$ !!! ???", 'blob "A"', 'system "open', 'system "A"\n}', '"A" "B"', 'system "A" ["x"]', "", "# only a note",
+        'version "2"\nsystem "A"', 'system "A"\nsystem "A"', 'system "A" { container "B" }\n"A" -> "a::B" [type="uses"]\n"a::C" -> "B"', 'PERSON "Alice"\n\n  system   "App" [tags="x, y" external="true"\n',
+    )
+    assert found == [
+        [], [("MISSING_REQUIRED_FIELD", 1)], [("MISSING_REQUIRED_FIELD", 2)], [("UNTERMINATED_STRING", 1)] * 12, [("UNKNOWN_ELEMENT_KIND", 1), ("UNEXPECTED_TOKEN", 1)], [("MISSING_REQUIRED_FIELD", 1)], [("UNEXPECTED_TOKEN", 2)],
+        [("UNEXPECTED_TOKEN", 1)] * 2, [("UNEXPECTED_TOKEN", 1)], [("EMPTY_DOCUMENT", None)], [("EMPTY_DOCUMENT", None)], [("UNSUPPORTED_VERSION", 1)], [("DUPLICATE_NAME", None)], [("UNRESOLVED_REFERENCE", 3)], [],
+    ]
+
+
+def test_rendered_attributes_come_back(spark):
+    more = {"description": F.lit("does things"), "technology": F.when(F.col("id") == "a1", "Spark"), "is_external": F.col("id") == "b", "tags": F.when(F.col("id") == "a", F.array(F.lit("x"), F.lit("y"))), "container_subtype": F.when(F.col("id") == "a2", "database").when(F.col("id") == "a1", "default")}
+    e = shop(spark).withColumns(more).withColumn("formatting", F.when(F.col("id") == "a", F.struct(F.lit("#112233").alias("background_color"), F.lit(None).cast("string").alias("border_color"), F.lit("#445566").alias("font_color"))))
+    r = rels(spark, ("r1", "a11", "b1"), ("r2", "p", "nobody")).withColumns({"label": F.lit("calls"), "tags": F.array(F.lit("fast"))})
+    written = text.render_text(e, r).withColumnRenamed("model_id", "doc_id")
+    assert '"P" -> "nobody" [type="uses", label="calls", tags="fast"]' in written.first().text
+    back, edges = text.assemble(text.statements(written))
+    got = {x.name: x for x in back.collect()}
+    assert got["A"].tags == ["x", "y"] and got["A"].formatting.background_color == "#112233" and got["A"].formatting.border_color is None
+    assert got["A1"].technology == "Spark" and got["A2"].container_subtype == "database" and got["A1"].container_subtype is None
+    assert got["B"].is_external and got["A"].is_external is None and all(x.description == "does things" for x in got.values())
+    assert got["A11"].parent_id == "top.a.a1" and got["TOP"].parent_id is None
+    assert [(x.source_id, x.target_id, x.label, x.tags) for x in edges.collect()] == [("top.a.a1.a11", "top.b.b1", "calls", ["fast"])]
+    deep = elements(spark, *[(f"n{i}", "code", f"n{i - 1}" if i else None) for i in range(9)])
+    chain = text.statements(text.render_text(deep, rels(spark)).withColumnRenamed("model_id", "doc_id")).filter("type = 'element'").orderBy("pos").collect()
+    assert [(x.name, x.parent_pos) for x in chain] == [(f"N{i}", chain[i - 1].pos if i else None) for i in range(9)]
