@@ -8,12 +8,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, set as checkpoint folder if it isn't yet. Only where neither is set, as
-    in tests, a local folder is made and set."""
+    """The folder named by spark.checkpoint.dir, set as checkpoint folder if it isn't yet. Only where neither is set
+    and Spark runs in this process, as in tests, a local folder is made and set; on a cluster that is an error."""
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
     path = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
     if not path:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="strataloom-")
     if not known.isDefined():
         context.setCheckpointDir(path)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hierarchy
 from .hierarchy import KEY
+from .layout import place_in_model
 
 
 def visible_elements(elements: DataFrame, level: str, focus: DataFrame | None = None) -> DataFrame:
@@ -86,9 +87,8 @@ def external_positions(nodes: DataFrame, externals: DataFrame, stored: DataFrame
     nodes; positions stored for them win."""
     left = nodes.join(boundary_ids.select("model_id", F.col("id").alias("element_id")).distinct(), ["model_id", "element_id"], "left_semi").groupBy("model_id", "view_id").agg((F.min("x") - 280.0).alias("x"))
     views = nodes.select("model_id", "view_id").distinct().join(left, ["model_id", "view_id"], "left")
-    order = Window.partitionBy("model_id").orderBy("first_ord", "id")
-    ranked = externals.select("model_id", F.col("id").alias("element_id"), F.row_number().over(order).alias("nth"))
-    placed = views.join(ranked, "model_id").select("model_id", "view_id", "element_id", F.coalesce("x", F.lit(50.0)).alias("x0"), (50.0 + 180.0 * (F.col("nth") - 1)).alias("y0"))
+    ranked = place_in_model(externals.select("model_id", F.col("id").alias("element_id"), F.struct("first_ord", "id").alias("ord")))
+    placed = views.join(ranked, "model_id").select("model_id", "view_id", "element_id", F.coalesce("x", F.lit(50.0)).alias("x0"), (50.0 + 180.0 * F.col("nth")).alias("y0"))
     own = stored.select("model_id", "view_id", "element_id", F.col("x").alias("x1"), F.col("y").alias("y1"))
     return placed.join(own, ["model_id", "view_id", "element_id"], "left").select("model_id", "view_id", "element_id", F.coalesce("x1", "x0").alias("x"), F.coalesce("y1", "y0").alias("y"), F.lit(200.0).alias("w"), F.lit(130.0).alias("h"))
 

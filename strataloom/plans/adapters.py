@@ -26,10 +26,10 @@ RELATIONSHIPS: list[Projection] = [
     ("lineitem", ["'estate' AS model_id", "concat('0', lpad(CAST(l_orderkey AS STRING), 12, '0'), lpad(CAST(l_linenumber AS STRING), 4, '0'), lpad(CAST(l_partkey AS STRING), 12, '0'), lpad(CAST(l_suppkey AS STRING), 12, '0'), l_returnflag, l_linestatus) AS ord", "concat('x:', CAST(l_orderkey AS STRING), '.', CAST(l_linenumber AS STRING)) AS id", "concat('o:', CAST(l_orderkey AS STRING)) AS source_id", "concat('s:', CAST(l_suppkey AS STRING)) AS target_id", "l_returnflag AS type", "l_linestatus AS action", "CASE WHEN l_linenumber % 2 = 0 THEN 'async' END AS integration_mode"]),
     ("events", ["'estate' AS model_id", "concat('1', lpad(CAST(event_id AS STRING), 12, '0')) AS ord", "concat('e:', CAST(event_id AS STRING)) AS id", "concat('u:', CAST(user_id AS STRING)) AS source_id", "concat('c:', CAST(user_id AS STRING)) AS target_id", "event_type AS type", "CAST(NULL AS STRING) AS action", "CAST(NULL AS STRING) AS integration_mode"]),
 ]
-#: Stored positions: nations on a grid three wide, every third user beside them.
+#: Stored positions: nations on a grid three wide, users beside them.
 LAYOUT_NODES: list[Projection] = [
     ("nation", ["'estate' AS model_id", "'main' AS view_id", "concat('1', lpad(CAST(n_nationkey AS STRING), 12, '0')) AS ord", "concat('n:', CAST(n_nationkey AS STRING)) AS element_id", "CAST(50 + (n_nationkey % 3) * 150 AS DOUBLE) AS x", "CAST(50 + CAST(floor(n_nationkey / 3) AS INT) * 150 AS DOUBLE) AS y", "CASE WHEN n_nationkey % 2 = 0 THEN CAST(200 AS DOUBLE) END AS w", "CASE WHEN n_nationkey % 2 = 0 THEN CAST(130 AS DOUBLE) END AS h"]),
-    ("(SELECT DISTINCT user_id FROM events WHERE user_id % 3 = 0)", ["'estate' AS model_id", "'main' AS view_id", "concat('6', lpad(CAST(user_id AS STRING), 12, '0')) AS ord", "concat('u:', CAST(user_id AS STRING)) AS element_id", "CAST(700 + (user_id % 7) * 150 AS DOUBLE) AS x", "CAST(50 + (user_id % 11) * 150 AS DOUBLE) AS y", "CAST(NULL AS DOUBLE) AS w", "CAST(NULL AS DOUBLE) AS h"]),
+    ("(SELECT DISTINCT user_id FROM events)", ["'estate' AS model_id", "'main' AS view_id", "concat('6', lpad(CAST(user_id AS STRING), 12, '0')) AS ord", "concat('u:', CAST(user_id AS STRING)) AS element_id", "CAST(700 + (user_id % 7) * 150 AS DOUBLE) AS x", "CAST(50 + (user_id % 11) * 150 AS DOUBLE) AS y", "CAST(NULL AS DOUBLE) AS w", "CAST(NULL AS DOUBLE) AS h"]),
 ]
 
 #: `corpus`: a model for each nation, with faults made by arithmetic. Foreign suppliers are missing, so edges dangle.

@@ -86,10 +86,10 @@ def add_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged("relationships", rels, "id", "ord", "source_id", "target_id", "type").unionByName(tagged("edges", edges, "relationship_id", "ord"))
 
 
-@query(PRE + ", e AS (SELECT * FROM elements WHERE kind IN ('system', 'container')), u AS (SELECT id, 'Renamed ' || name AS name FROM e WHERE kind = 'system'), fresh AS (SELECT 'f:' || CAST(p_partkey AS STRING) AS id, '9' || CAST(p_partkey AS STRING) AS ord, p_name AS name FROM part) SELECT e.id, e.ord, coalesce(u.name, e.name) AS name FROM e LEFT JOIN u ON u.id = e.id UNION ALL SELECT * FROM (SELECT id, ord, name FROM fresh)")
+@query(PRE + ", e AS (SELECT * FROM elements), u AS (SELECT id, 'Renamed ' || name AS name FROM e WHERE kind = 'system'), fresh AS (SELECT 'f:' || CAST(p_partkey AS STRING) AS id, '9' || CAST(p_partkey AS STRING) AS ord, p_name AS name FROM part) SELECT e.id, e.ord, coalesce(u.name, e.name) AS name FROM e LEFT JOIN u ON u.id = e.id UNION ALL SELECT * FROM (SELECT id, ord, name FROM fresh)")
 def upsert_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Systems are renamed in their place; parts come as containers that weren't there."""
-    elements = estate(spark, sf_dir)[0].filter("kind IN ('system', 'container')")
+    elements = estate(spark, sf_dir)[0]
     renamed = elements.filter("kind = 'system'").withColumn("name", F.concat(F.lit("Renamed "), "name")).withColumn("ord", F.concat(F.lit("9"), "ord"))
     fresh = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("'estate' AS model_id", "concat('9', CAST(p_partkey AS STRING)) AS ord", "concat('f:', CAST(p_partkey AS STRING)) AS id", "'container' AS kind", "p_name AS name", "CAST(NULL AS STRING) AS parent_id", "CAST(NULL AS STRING) AS container_subtype", "CAST(NULL AS BOOLEAN) AS is_external")
     return edits.upsert_elements(elements, renamed.unionByName(fresh)).select("id", "ord", "name")
@@ -122,18 +122,18 @@ def move_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.move_nodes(a.load(spark, sf_dir, a.LAYOUT_NODES), moves, first_views(spark)).select("element_id", "x", "y")
 
 
-@query(PRE + f""", back AS (SELECT 'e:' || event_id::VARCHAR AS id, event_id FROM events WHERE event_id % 50 = 0), fresh AS ({_NEW}),
+@query(PRE + f""", back AS (SELECT 'e:' || event_id::VARCHAR AS id, event_id FROM events), fresh AS ({_NEW}),
 out_rels AS (SELECT r.id, r.ord, CASE WHEN b.id IS NOT NULL THEN 'n:1' ELSE source_id END AS source_id, target_id, CASE WHEN b.id IS NOT NULL THEN 'edited' ELSE action END AS action FROM relationships r LEFT JOIN back b ON b.id = r.id UNION ALL SELECT id, ord, source_id, target_id, 'calls' FROM fresh),
-ends AS (SELECT ord, 0 AS side, source_id AS element_id FROM fresh UNION ALL SELECT ord, 1, target_id FROM fresh), lost AS (SELECT element_id, min(ord || side::VARCHAR) AS a1 FROM ends WHERE element_id NOT IN (SELECT element_id FROM nodes) GROUP BY 1)
-SELECT {_tag('relationships', 'id', 'ord', 'source_id', 'target_id', 'action')} FROM out_rels UNION ALL SELECT {_tag('nodes', 'element_id', 'x::INT', 'y::INT')} FROM (SELECT element_id, x, y FROM nodes UNION ALL SELECT element_id, 600 + 250 * (row_number() OVER (ORDER BY a1, element_id) - 1), 80 FROM lost)""")
+ends AS (SELECT ord, 0 AS side, source_id AS element_id FROM fresh UNION ALL SELECT ord, 1, target_id FROM fresh), lost AS (SELECT element_id, arg_min(side, ord || side::VARCHAR) AS side FROM ends WHERE element_id NOT IN (SELECT element_id FROM nodes) GROUP BY 1)
+SELECT {_tag('relationships', 'id', 'ord', 'source_id', 'target_id', 'action')} FROM out_rels UNION ALL SELECT {_tag('nodes', 'element_id', 'x::INT', 'y::INT', 'w::INT', 'h::INT')} FROM (SELECT element_id, x, y, w, h FROM nodes UNION ALL SELECT element_id, 600 + 250 * side, 80, 200, 130 FROM lost)""")
 def save_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits of derived edges go back to every fiftieth event; suppliers' new edges come with nodes."""
+    """Edits of derived edges go back to every event; suppliers' new edges come with nodes."""
     _, rels, nodes, _ = state(spark, sf_dir)
     own = [c for c in rels.columns]
-    back = rels.filter("id LIKE 'e:%' AND CAST(substring(id, 3) AS BIGINT) % 50 = 0").select(*own).withColumns({"original_id": F.col("id"), "source_id": F.lit("n:1"), "action": F.lit("edited")}).withColumn("id", F.concat(F.lit("derived-"), "id"))
+    back = rels.filter("id LIKE 'e:%'").select(*own).withColumns({"original_id": F.col("id"), "source_id": F.lit("n:1"), "action": F.lit("edited")}).withColumn("id", F.concat(F.lit("derived-"), "id"))
     fresh = new_relationships(spark, sf_dir).select(*own).withColumn("original_id", F.lit(None).cast("string"))
     rels, nodes = edits.save_relationships(rels, nodes, back.unionByName(fresh), first_views(spark))
-    return tagged("relationships", rels, "id", "ord", "source_id", "target_id", "action").unionByName(tagged("nodes", nodes, "element_id", F.col("x").cast("int"), F.col("y").cast("int")))
+    return tagged("relationships", rels, "id", "ord", "source_id", "target_id", "action").unionByName(tagged("nodes", nodes, "element_id", *[F.col(c).cast("int") for c in ("x", "y", "w", "h")]))
 
 
 @query("""WITH last AS (SELECT user_id, arg_max(event_type, event_id) AS op, max(event_id) AS e FROM events GROUP BY 1), elements AS (SELECT 'u:' || user_id::VARCHAR AS id, 'User' AS name FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0))
@@ -178,12 +178,12 @@ def slug_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.slug_ids(estate(spark, sf_dir)[0])
 
 
-NAMED = ", e AS (SELECT model_id, id, ord, CASE WHEN kind = 'component' THEN 'Order ' || right(id, 1) WHEN kind = 'landscape' AND id <> 'r:0' THEN 'Order 3' ELSE name END AS name, CASE WHEN kind = 'landscape' THEN NULL ELSE parent_id END AS parent_id FROM elements WHERE kind IN ('landscape', 'system', 'container', 'component'))"
+NAMED = ", e AS (SELECT model_id, id, ord, CASE WHEN kind = 'component' THEN 'Order ' || right(id, 1) WHEN kind = 'landscape' AND id <> 'r:0' THEN 'Order 3' ELSE name END AS name, CASE WHEN kind = 'landscape' THEN NULL ELSE parent_id END AS parent_id FROM elements)"
 
 
 def named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements above code, orders named by their last digit, most regions as an order."""
-    e = estate(spark, sf_dir)[0].filter(F.col("kind").isin("landscape", "system", "container", "component"))
+    """The estate, orders named by their last digit, most regions as an order."""
+    e = estate(spark, sf_dir)[0]
     name = F.when(F.col("kind") == "component", F.concat(F.lit("Order "), F.substring("id", -1, 1))).when((F.col("kind") == "landscape") & (F.col("id") != "r:0"), "Order 3").otherwise(F.col("name"))
     return e.withColumn("name", name)
 
@@ -286,7 +286,40 @@ def assemble_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.assemble(text.statements(docs))[0].select("model_id", "id", "kind", "name", "parent_id")
 
 
-@query()
-def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of the tables themselves, newest first; contents aren't read."""
-    return catalog.catalog_listing(spark, sf_dir, "*.parquet")
+@query(f"""WITH c AS (SELECT c_custkey, {SLUG.format('c_name')} AS slug FROM customer), o AS (SELECT o_orderkey, o_custkey, c.slug || '.order-' || o_orderkey::VARCHAR AS slug FROM orders JOIN c ON o_custkey = c_custkey)
+SELECT o_custkey::VARCHAR AS model_id, 'rel-order-' || o_orderkey::VARCHAR || '-supply-' || o_orderkey::VARCHAR || '-' || l_suppkey::VARCHAR AS id, o.slug AS source_id, o.slug || '.supply-' || o_orderkey::VARCHAR || '-' || l_suppkey::VARCHAR AS target_id, l_returnflag AS type FROM lineitem JOIN o ON l_orderkey = o_orderkey""")
+def assemble_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = render_text(spark, sf_dir).withColumnRenamed("model_id", "doc_id")
+    return text.assemble(text.statements(docs))[1].select("model_id", "id", "source_id", "target_id", "type")
+
+
+@query(PRE + ", last AS (SELECT 'n:' || (user_id % 25)::VARCHAR AS id, arg_max(event_type, event_id) AS t, max(event_id) AS e FROM events GROUP BY 1) SELECT x.id, CASE WHEN l.id IS NULL THEN '#ffffff' WHEN l.t = 'error' THEN NULL ELSE '#' || lpad((e % 1000000)::VARCHAR, 6, '0') END AS background FROM elements x LEFT JOIN last l ON l.id = x.id")
+def set_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event paints a nation, errors take the paint away; all else stays white."""
+    paint = lambda c: F.struct(c.alias("background_color"))
+    elements = estate(spark, sf_dir)[0].withColumn("formatting", paint(F.lit("#ffffff")))
+    colour = F.concat(F.lit("#"), F.lpad((F.col("event_id") % 1_000_000).cast("string"), 6, "0"))
+    jobs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit("estate").alias("model_id"), F.concat(F.lit("n:"), (F.col("user_id") % 25).cast("string")).alias("id"), F.when(F.col("event_type") != "error", paint(colour)).alias("formatting"), F.col("event_id").alias("ord"))
+    return edits.set_formatting(elements, jobs).select("id", F.col("formatting.background_color").alias("background"))
+
+
+@query(PRE + " SELECT id, CASE WHEN id IN (SELECT 'n:' || s_nationkey::VARCHAR FROM supplier) THEN false ELSE is_external END AS is_external FROM elements")
+def unmark_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations that have suppliers aren't external."""
+    own = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.lit("estate").alias("model_id"), F.concat(F.lit("n:"), F.col("s_nationkey").cast("string")).alias("id"))
+    return edits.unmark_external(estate(spark, sf_dir)[0], own).select("id", "is_external")
+
+
+@query(PRE + """, last AS (SELECT 'e:' || (event_id % 1000)::VARCHAR AS id, arg_max(event_type, event_id) AS op, max(event_id) AS e FROM events GROUP BY 1),
+out_rels AS (SELECT r.id, CASE WHEN l.op IN ('click', 'purchase', 'signup') THEN 'changed' ELSE r.action END AS action, CASE WHEN l.op IN ('click', 'purchase', 'signup') THEN 'by ' || l.e::VARCHAR ELSE r.type END AS type FROM relationships r LEFT JOIN last l ON l.id = r.id WHERE coalesce(l.op, '') <> 'error'
+UNION ALL SELECT id, 'changed', 'by ' || e::VARCHAR FROM last WHERE op IN ('click', 'purchase', 'signup') AND id NOT IN (SELECT id FROM relationships)) SELECT * FROM out_rels""")
+def apply_changes_to_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as change proposals on a thousand relationships: the last of each counts."""
+    elements, rels, nodes, drawn = state(spark, sf_dir)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    op = F.when(F.col("event_type").isin("click", "purchase", "signup"), "update").when(F.col("event_type") == "error", "delete").otherwise("none")
+    null = lambda t: F.lit(None).cast(t)
+    element = F.struct(null("string").alias("kind"), null("string").alias("name"), null("string").alias("parent_id"), null("string").alias("container_subtype"), null("boolean").alias("is_external"))
+    relationship = F.struct(F.lit("u:1").alias("source_id"), F.lit("c:1").alias("target_id"), F.concat(F.lit("by "), F.col("event_id").cast("string")).alias("type"), F.lit("changed").alias("action"), null("string").alias("integration_mode"))
+    changes = events.select(F.lit("estate").alias("model_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("ord"), op.alias("op"), F.lit("relationship").alias("target_type"), F.concat(F.lit("e:"), (F.col("event_id") % 1000).cast("string")).alias("target_id"), element.alias("element"), relationship.alias("relationship"))
+    return edits.apply_changes(elements, rels, nodes, drawn, changes)[1].select("id", "action", "type")

@@ -146,10 +146,11 @@ def search_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.search_options(options, "NATION_7").unionByName(views.search_options(options, "42")).distinct()
 
 
-@query(PRE + f" SELECT model_id, anc AS root_id, id FROM closure WHERE depth > 0 AND anc IN ('{FOCUS}', 'c:11', 'r:2')")
+@query(PRE + " SELECT model_id, anc AS root_id, id FROM closure WHERE depth > 0 AND anc IN (SELECT id FROM elements WHERE kind IN ('system', 'container'))")
 def descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = spark.createDataFrame([("estate", x) for x in (FOCUS, "c:11", "r:2")], "model_id string, id string")
-    return hierarchy.descendants(estate(spark, sf_dir)[0], ids)
+    """All that is below each system and each container."""
+    elements, _ = estate(spark, sf_dir)
+    return hierarchy.descendants(elements, elements.filter("kind IN ('system', 'container')").select("model_id", "id"))
 
 
 @query(PRE + """, crumbs AS (SELECT c.id, string_agg(u.name || '/' || u.kind, '|' ORDER BY c.depth DESC) AS steps FROM closure c JOIN uniq u ON u.id = c.anc WHERE u.kind NOT IN ('landscape', 'person') GROUP BY c.id)
@@ -167,13 +168,13 @@ def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.connections(*estate(spark, sf_dir))
 
 
-@query(PRE + """, looped AS (SELECT id, CASE WHEN id = 'r:1' THEN 'n:' || (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 1)::VARCHAR ELSE parent_id END AS parent_id FROM uniq WHERE kind <> 'code'),
+@query(PRE + """, looped AS (SELECT id, CASE WHEN id = 'r:1' THEN 'n:' || (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 1)::VARCHAR ELSE parent_id END AS parent_id FROM uniq),
 walk AS (SELECT id, id AS anc, parent_id AS next, 0 AS d FROM looped UNION ALL SELECT w.id, w.next, l.parent_id, d + 1 FROM walk w JOIN looped l ON l.id = w.next WHERE d < 12 AND w.next IS NOT NULL),
 onc AS (SELECT DISTINCT id FROM walk WHERE d > 0 AND id = anc)
 SELECT DISTINCT 'estate' AS model_id, w.id, w.id IN (SELECT id FROM onc) AS on_cycle FROM walk w WHERE w.anc IN (SELECT id FROM onc)""")
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cycles_whole without code elements, as its SQL is."""
-    return hierarchy.cycles(looped(spark, sf_dir).filter("kind <> 'code'"))
+    """Every element of the estate that is on a cycle or leads into one."""
+    return hierarchy.cycles(looped(spark, sf_dir))
 
 
 def looped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,10 +184,10 @@ def looped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements.withColumn("parent_id", F.when(F.col("id") == "r:1", F.lit(f"n:{first}")).otherwise(F.col("parent_id")))
 
 
-@query()
+@query(ORACLES["cycles"])
 def cycles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every element of the estate that is on a cycle or leads into one."""
-    return hierarchy.cycles(looped(spark, sf_dir))
+    """The name under which cycles took every element before."""
+    return cycles(spark, sf_dir)
 
 
 # Rules, over one model for each nation.
@@ -271,24 +272,23 @@ def placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return elements, rels, a.load(spark, sf_dir, a.LAYOUT_NODES)
 
 
-@query(PRE + """, g AS (SELECT model_id, id, row_number() OVER (PARTITION BY model_id ORDER BY ord) - 1 AS n FROM elements WHERE kind <> 'code')
+@query(PRE + """, g AS (SELECT model_id, id, row_number() OVER (PARTITION BY model_id ORDER BY ord) - 1 AS n FROM elements)
 SELECT model_id, id AS element_id, (50 + (n % 3) * 150)::DOUBLE AS x, (50 + (n // 3) * 150)::DOUBLE AS y, 120.0::DOUBLE AS w, 80.0::DOUBLE AS h FROM g""")
 def grid_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """grid_layout_whole without code elements, as its SQL is."""
-    elements = layout.place_in_model(estate(spark, sf_dir)[0].filter("kind <> 'code'"))
-    return layout.grid_layout(elements, F.col("nth"))
+    """A place for every element of the estate."""
+    return layout.grid_layout(layout.place_in_model(estate(spark, sf_dir)[0]), F.col("nth"))
 
 
-@query()
+@query(ORACLES["grid_layout"])
 def grid_layout_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A place for every element of the estate."""
-    return layout.grid_layout(layout.place_in_model(estate(spark, sf_dir)[0]), F.col("nth"))
+    """The name under which grid_layout took every element before."""
+    return grid_layout(spark, sf_dir)
 
 
-@query(PRE + " SELECT model_id, id AS relationship_id FROM relationships WHERE source_id IN (SELECT id FROM elements WHERE kind <> 'person') AND target_id IN (SELECT id FROM elements WHERE kind <> 'person')")
+@query(PRE + " SELECT model_id, id AS relationship_id FROM relationships WHERE source_id IN (SELECT id FROM elements) AND target_id IN (SELECT id FROM elements)")
 def layout_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     elements, rels = estate(spark, sf_dir)
-    return layout.layout_edges(rels, elements.filter("kind <> 'person'"))
+    return layout.layout_edges(rels, elements)
 
 
 @query(PRE + TOP + LIFT + """, r AS (SELECT * FROM derived),
@@ -370,18 +370,18 @@ def boundary_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(PRE + f""", pal(kind, bg, border, font) AS ({dimensions.values_sql(dimensions.PALETTE)}),
-s AS (SELECT u.*, lpad('', (hash_len * 17 + 70)::INT, 'ab') AS description FROM (SELECT *, length(name) AS hash_len FROM uniq WHERE kind IN ('system', 'person', 'container')) u),
+s AS (SELECT u.*, lpad('', (hash_len * 17 + 70)::INT, 'ab') AS description FROM (SELECT *, length(name) AS hash_len FROM uniq) u),
 placed AS (SELECT model_id, 'v' AS view_id, id AS element_id, CASE WHEN kind = 'system' THEN 150.0 END AS w FROM s), outside AS (SELECT id FROM s WHERE kind = 'person')
-SELECT s.model_id, 'v' AS view_id, s.id AS element_id, CASE WHEN coalesce(is_external, false) THEN '[External System]' WHEN o.id IS NOT NULL THEN '[External ' || s.kind || ']' WHEN s.kind = 'system' THEN '[Software System]' WHEN s.kind = 'container' AND container_subtype IS NOT NULL THEN '[Container: JVM]' ELSE '[Container]' END AS tag,
+SELECT s.model_id, 'v' AS view_id, s.id AS element_id, CASE WHEN coalesce(is_external, false) THEN '[External System]' WHEN o.id IS NOT NULL THEN '[External ' || s.kind || ']' WHEN s.kind = 'system' THEN '[Software System]' WHEN s.kind = 'container' AND container_subtype IS NOT NULL THEN '[Container: JVM]' WHEN s.kind = 'container' THEN '[Container]' WHEN s.kind = 'landscape' THEN '[Landscape]' WHEN s.kind = 'component' THEN '[Component]' ELSE '[Code]' END AS tag,
        CASE WHEN length(description) > 80 THEN substr(description, 1, 80) || '…' ELSE description END AS short_description,
-       CASE WHEN coalesce(is_external, false) THEN '#fff3e0' WHEN o.id IS NOT NULL THEN '#ffffff' WHEN container_subtype IS NOT NULL THEN '#aabbcc' ELSE bg END AS background, CASE WHEN coalesce(is_external, false) THEN '#8a0000' WHEN o.id IS NOT NULL THEN '#999999' ELSE border END AS border,
-       CASE WHEN coalesce(is_external, false) THEN '#8a0000' WHEN o.id IS NOT NULL THEN '#888888' ELSE font END AS font, CASE WHEN s.kind = 'container' AND container_subtype IS NOT NULL THEN container_subtype ELSE 'rounded' END AS shape,
+       CASE WHEN coalesce(is_external, false) THEN '#fff3e0' WHEN o.id IS NOT NULL THEN '#ffffff' WHEN container_subtype IS NOT NULL THEN '#aabbcc' ELSE coalesce(bg, '{dimensions.OTHER_COLOURS[0]}') END AS background, CASE WHEN coalesce(is_external, false) THEN '#8a0000' WHEN o.id IS NOT NULL THEN '#999999' ELSE coalesce(border, '{dimensions.OTHER_COLOURS[1]}') END AS border,
+       CASE WHEN coalesce(is_external, false) THEN '#8a0000' WHEN o.id IS NOT NULL THEN '#888888' ELSE coalesce(font, '{dimensions.OTHER_COLOURS[2]}') END AS font, CASE WHEN s.kind = 'container' AND container_subtype IS NOT NULL THEN container_subtype ELSE 'rounded' END AS shape,
        CASE WHEN coalesce(is_external, false) OR o.id IS NOT NULL THEN 1.5 ELSE 2.5 END::DOUBLE AS line_width, coalesce(p.w, 200)::DOUBLE AS w, 130.0::DOUBLE AS h
 FROM placed p JOIN s ON s.id = p.element_id LEFT JOIN outside o ON o.id = s.id LEFT JOIN pal ON pal.kind = s.kind""")
 def node_style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    elements = estate(spark, sf_dir)[0].filter(F.col("kind").isin("system", "person", "container"))
+    elements = estate(spark, sf_dir)[0]
     null = F.lit(None).cast("string")
     own = F.col("container_subtype").isNotNull()
     elements = elements.withColumns({"description": F.lpad(F.lit(""), F.length("name") * 17 + 70, F.lit("ab")), "technology": F.when(own, "JVM"), "component_type": null, "formatting": F.when(own, F.struct(F.lit("#aabbcc").alias("background_color"), null.alias("border_color"), null.alias("font_color")))})
-    nodes = elements.select("model_id", F.lit("v").alias("view_id"), F.col("id").alias("element_id"), F.when(F.col("kind") == "system", F.lit(150.0)).alias("w"), F.lit(None).cast("double").alias("h"))
+    nodes = elements.select("model_id", F.lit("v").alias("view_id"), F.col("id").alias("element_id"), F.when(F.col("kind") == "system", F.lit(150.0)).alias("w"), F.lit(None).cast("double").alias("h")).distinct()
     return layout.node_style(nodes, elements, elements.filter("kind = 'person'"))

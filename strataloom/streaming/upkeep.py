@@ -1,16 +1,22 @@
 """Keeping model state current from a stream of edits: the newest edit of each key wins, writes are serial and whole.
 
-State is a table of versions, `<path>/v=<batch id>`. A batch reads the version before it, merges its newest edits and
-writes the next one; a batch that is replayed writes the same version again, so restarts change nothing.
+State is dealt into buckets by key. A batch reads the newest version of the buckets that it changes, merges its newest
+edits and writes those buckets again, as `<path>/v=<batch id>/bucket=<b>`; the others stay where they are. A batch that is
+replayed writes the same version again, so restarts change nothing. Of each bucket the last two versions are kept.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 SCHEMA = "model_id string, id string, op string, value string, ts timestamp, event_id long"
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+BUCKETS = 64
 
 
 def newest(edits: DataFrame) -> DataFrame:
@@ -28,23 +34,71 @@ def current(state: DataFrame) -> DataFrame:
     return state.filter("op <> 'delete'").drop("op")
 
 
-def start(edits: DataFrame, path: str, checkpoint: str, interval: str | None = "2 seconds") -> StreamingQuery:
-    """edits: a stream with the columns of SCHEMA. With interval None all that is there is taken, and the query ends."""
+def start(edits: DataFrame, path: str, checkpoint: str, interval: str | None = "2 seconds", buckets: int = BUCKETS, check: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """edits: a stream with the columns of SCHEMA. With interval None all that is there is taken, and the query ends.
+    check(state of the keys that a batch has changed) -> violations, which are written to `<path>-violations/v=<batch id>`."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        merge(read_version(spark, path, batch_id - 1), batch.select(*[c.split()[0] for c in SCHEMA.split(", ")])).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        last = newest(batch.select(*COLUMNS)).withColumn("bucket", F.pmod(F.xxhash64("model_id", "id"), F.lit(buckets)).cast("int")).persist()
+        try:
+            changed = [r["bucket"] for r in last.select("bucket").distinct().collect()]  # at most `buckets` numbers
+            if not changed:
+                return
+            before = read(spark, path, {b: v for b, v in versions(spark, path, batch_id).items() if b in set(changed)})
+            merged = merge(before, last.select(*COLUMNS))
+            dealt = merged.withColumn("bucket", F.pmod(F.xxhash64("model_id", "id"), F.lit(buckets)).cast("int"))
+            dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={batch_id}")
+            if check is not None:
+                now = read(spark, path, {b: batch_id for b in changed})
+                check(current(now.join(last.select("model_id", "id"), ["model_id", "id"], "left_semi"))).write.mode("overwrite").parquet(f"{path}-violations/v={batch_id}")
+            _forget(spark, path, changed, batch_id)
+        finally:
+            last.unpersist()
 
     stream = edits.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return stream.trigger(availableNow=True).start() if interval is None else stream.trigger(processingTime=interval).start()
 
 
-def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
-    """State after a batch; empty before the first."""
-    return spark.read.schema(SCHEMA).parquet(f"{path}/v={version}") if version >= 0 else spark.createDataFrame([], SCHEMA)
-
-
-def latest_version(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
-    """State after the last batch that a query has finished."""
-    progress = query.lastProgress
-    return read_version(spark, path, progress["batchId"] if progress else -1)
+def _folders(spark: SparkSession, path: str) -> list[tuple[int, int, str]]:
+    """(version, bucket, folder) of what has been written whole."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = {x.getPath().getParent().getName() for x in fs.globStatus(hadoop.Path(f"{path}/v=*/_SUCCESS")) or []}
+    found = []
+    for x in fs.globStatus(hadoop.Path(f"{path}/v=*/bucket=*")) or []:
+        m = re.search(r"(v=(\d+))/bucket=(\d+)$", x.getPath().toString())
+        if m and m[1] in whole:
+            found.append((int(m[2]), int(m[3]), x.getPath().toString()))
+    return found
+
+
+def versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """The newest version of each bucket, of those before a batch."""
+    out: dict[int, int] = {}
+    for v, b, _ in _folders(spark, path):
+        if before is None or v < before:
+            out[b] = max(v, out.get(b, -1))
+    return out
+
+
+def read(spark: SparkSession, path: str, wanted: dict[int, int]) -> DataFrame:
+    """Given versions of buckets; empty where there are none."""
+    folders = [f"{path}/v={v}/bucket={b}" for b, v in wanted.items()]
+    return spark.read.schema(SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], SCHEMA)
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """State by the newest version of each bucket that has been written whole."""
+    return read(spark, path, versions(spark, path))
+
+
+def _forget(spark: SparkSession, path: str, buckets: list[int], batch_id: int) -> None:
+    """Of changed buckets, versions before the one that this batch has replaced; a replay needs none of them."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    replaced = versions(spark, path, batch_id)
+    for v, b, folder in _folders(spark, path):
+        if b in set(buckets) and v < replaced.get(b, -1):
+            fs.delete(hadoop.Path(folder), True)

@@ -187,3 +187,59 @@ def test_rendered_attributes_come_back(spark):
     deep = elements(spark, *[(f"n{i}", "code", f"n{i - 1}" if i else None) for i in range(9)])
     chain = text.statements(text.render_text(deep, rels(spark)).withColumnRenamed("model_id", "doc_id")).filter("type = 'element'").orderBy("pos").collect()
     assert [(x.name, x.parent_pos) for x in chain] == [(f"N{i}", chain[i - 1].pos if i else None) for i in range(9)]
+
+
+def test_saved_relationships_place_their_ends(spark):
+    e, r = shop(spark), rels(spark, ("r1", "a1", "a2"))
+    r = r.withColumn("description", F.lit("old"))
+    nodes = spark.createDataFrame([("m", "v", "0", "a1", 1.0, 2.0, None, None)], "model_id string, view_id string, ord string, element_id string, x double, y double, w double, h double")
+    views_ = spark.createDataFrame([("m", "v")], "model_id string, view_id string")
+    fresh = rels(spark, ("n1", "a1", "b1"), ("n2", "b1", "p"), ("n3", "a11", "a1")).withColumns({"description": F.lit("new"), "original_id": F.lit(None).cast("string")})
+    back = r.withColumns({"original_id": F.col("id"), "id": F.lit("derived-x"), "description": F.lit("written back")})
+    out, placed = edits.save_relationships(r, nodes, fresh.unionByName(back), views_)
+    # A target stands at 850 even if it is the only end that is missing; later edits find it there.
+    assert sorted((x.element_id, x.x, x.y, x.w, x.h) for x in placed.filter("element_id <> 'a1'").collect()) == [("a11", 600.0, 80.0, 200.0, 130.0), ("b1", 850.0, 80.0, 200.0, 130.0), ("p", 850.0, 80.0, 200.0, 130.0)]
+    assert {x.id: x.description for x in out.collect()} == {"r1": "written back", "n1": "new", "n2": "new", "n3": "new"}
+    assert e.count() == 9
+
+
+def test_import_reasons_by_type(spark):
+    texts = {"[]": "Missing schemaVersion", "5": "Missing schemaVersion", "null": "Invalid JSON", "": "Invalid JSON", '{"schemaVersion": "0"}': "Unknown schemaVersion: 0", '{"schemaVersion": "false"}': "Unknown schemaVersion: false", '{"schemaVersion": 0}': "Missing schemaVersion", '{"schemaVersion": false}': "Missing schemaVersion", '{"schemaVersion": 9}': "Unknown schemaVersion: 9", '{"schemaVersion": "1", "schemaVersion": "0.1.0"}': None}
+    docs = spark.createDataFrame([(t, t) for t in texts], "model_id string, text string")
+    accepted, quarantined = models.strict_import(docs)
+    assert {r.text: r.reason for r in quarantined.collect()} | {r.text: None for r in accepted.collect()} == texts
+
+
+def test_documents_come_back_whole(spark):
+    doc = {
+        "schemaVersion": "0.1.0", "metadata": {"title": "T x", "createdAt": "now"},
+        "elements": [{"id": "a", "kind": "system", "name": "A", "tags": ["x"], "attributes": {"k": [1, {"z": None}]}, "codeRef": {"kind": "file", "ref": "r"}, "formatting": {"fontColor": "#112233"}}, {"id": "b", "kind": "code", "name": "B", "isExternal": False}],
+        "relationships": [{"id": "r", "sourceId": "a", "targetId": "b", "type": "uses", "label": "L"}], "constraints": [{"id": "c", "type": "t", "scope": {"all": True}, "severity": "error"}],
+        "views": [{"id": "v", "level": "system", "title": "V", "filter": {"f": 1}, "layout": {"algorithm": "grid", "nodes": [{"elementId": "a", "x": 1.5, "y": 2.0, "collapsed": True}], "edges": [{"relationshipId": "r", "path": {"p": [1, 2]}}], "viewport": {"zoom": 2}}}, {"id": "w", "level": "code", "title": "W", "layout": {"algorithm": "g", "nodes": [], "edges": []}}],
+    }
+    bad = {"schemaVersion": "0.1.0", "metadata": {"titel": "x"}, "elements": [{"id": "", "kind": "box", "name": 1, "formatting": {"fontColor": "red"}, "tags": ["a", 1]}, 5], "relationships": {}, "views": []}
+    docs = spark.createDataFrame([("ok", json.dumps(doc)), ("bad", json.dumps(bad)), ("none", "{{x")], "model_id string, text string")
+    t = models.normalise(docs.filter("model_id = 'ok'"))
+    out = models.export_models(t["models"], t["elements"], t["relationships"], t["constraints"], t["views"], t["layout_nodes"], t["layout_edges"]).first()
+    assert json.loads(out.text) == doc and out.file_name == "t-x.arch.json"
+    found = {(r.path, r.code) for r in models.schema_audit(docs).filter("model_id <> 'ok'").collect()}
+    assert found == {("", "TYPE"), ("relationships", "TYPE"), ("metadata.title", "REQUIRED"), ("metadata.titel", "UNKNOWN_KEY"), ("elements[1]", "TYPE"), ("elements[0].id", "MIN_LENGTH"), ("elements[0].kind", "ENUM"), ("elements[0].name", "TYPE"), ("elements[0].tags", "TYPE"), ("elements[0].formatting.fontColor", "PATTERN")}
+    assert models.schema_audit(docs.filter("model_id = 'ok'")).count() == 0
+
+
+def test_upkeep_writes_changed_buckets(spark, tmp_path):
+    import datetime
+
+    t0 = datetime.datetime(2024, 1, 1)
+    for i in range(6):
+        rows = [("m", f"k{j}", "put", f"v{i}", t0 + datetime.timedelta(seconds=i), 10 * i + j) for j in (range(8) if i == 0 else [1])]
+        spark.createDataFrame(rows, upkeep.SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(upkeep.SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    path = str(tmp_path / "state")
+    check = lambda df: df.filter("value = 'v3'").select("model_id", "id")
+    upkeep.start(stream, path, str(tmp_path / "progress"), interval=None, buckets=4, check=check).awaitTermination()
+    assert {r.id: r.value for r in upkeep.current(upkeep.latest(spark, path)).collect()} == {f"k{j}": "v5" if j == 1 else "v0" for j in range(8)}
+    newest = upkeep.versions(spark, path)
+    assert sorted(set(newest.values())) == [0, 5]  # buckets without an edit stay as the first batch wrote them
+    assert len([x for x in upkeep._folders(spark, path) if x[1] == next(b for b, v in newest.items() if v == 5)]) == 2
+    assert [(r.model_id, r.id) for r in spark.read.parquet(f"{path}-violations").select("model_id", "id").collect()] == [("m", "k1")]
