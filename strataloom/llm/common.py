@@ -5,12 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.durable import shared_dir
+from ..functions.shipping import ship  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -57,19 +54,6 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, so that Python functions resolve there."""
-    if getattr(spark.sparkContext, "_strataloom_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="strataloom-code-"), "strataloom_code.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, os.path.join(root.name, p.relative_to(root)))
-    spark.sparkContext.addPyFile(target)
-    spark.sparkContext._strataloom_shipped = True
-
-
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, everything else as it is; null counts as empty."""
     return F.translate(F.coalesce(c, F.lit("")), UPPER, LOWER)
