@@ -43,3 +43,11 @@ def test_native_and_empty(spark):
     assert c.format_conversations(extra).first().formatted == "<|turn|>user<|text|>hi<|end|>"
     plan = c.turn_digests(c.format_conversations(extra))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_one_giant_conversation(spark):
+    turns = [(1, t, "user" if t % 3 else "assistant", f"turn {t} <|") for t in range(20_000)]
+    made = c.format_conversations(spark.createDataFrame(turns, SCHEMA))
+    d = c.turn_digests(made).first()
+    assert (d.n_turns, d.turns_sha256) == (20_000, sha("".join(f"{a}\n{b}\n" for _, _, a, b in turns)))
+    assert d.loss_sha256 == sha("".join(b for _, _, a, b in turns if a == "assistant"))

@@ -50,3 +50,13 @@ def test_very_long_text(spark):
     long = "Ab c\n" * 200_000
     out = exact_dedup.duplicate_groups(documents(spark, [(1, long), (2, long.upper()), (3, long + "!")])).collect()
     assert sorted((r.doc_id, r.keep_id) for r in out) == [(1, 2), (2, 2), (3, 3)]
+
+
+def test_filter_with_and_without_broadcast(spark, monkeypatch):
+    rnd = random.Random(4)
+    docs = [(i, rnd.choice(["Hot TEXT", "hot text", None, "É", f"cold {i % 40}", f"own {i}"])) for i in range(300)] + [(5, "cold 7"), (5, "cold 7")]
+    want = sorted(max(own) for own in brute(docs).values())
+    for bound in (exact_dedup.BROADCAST_GROUPS, 0):
+        monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", bound)
+        out = exact_dedup.exact_dedup(documents(spark, docs), heavy=4, tracked=8)
+        assert sorted(r.doc_id for r in out.collect()) == want

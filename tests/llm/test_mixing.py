@@ -74,3 +74,12 @@ def test_empty_and_clashing(spark):
     out = mixing.mix(odd, fraction=1.0)
     assert out.columns == [*odd.columns, "_mix"]
     assert sorted(r.doc_id for r in out.collect()) == [1, 2]
+
+
+def test_long_text_and_null_ids(spark):
+    docs = [(1, "w " * 200_000), (None, "a b"), (None, "a b"), (3, None), (4, "c")]
+    out = mixing.mix(documents(spark, docs), budget=10, seed=1).collect()
+    # The long text is more than the budget: the prefix ends where it comes; what is drawn before it depends on the seed.
+    assert sum(r.mix.tokens for r in out) <= 10 and all(r.doc_id != 1 for r in out)
+    every = mixing.mix(documents(spark, docs), fraction=1.0, seed=1).collect()
+    assert sorted(str(r.doc_id) for r in every) == ["1", "3", "4", "None", "None"]
