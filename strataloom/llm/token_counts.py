@@ -36,6 +36,10 @@ _UNITS = regex.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _ODD_SPACE = re.compile(rf" [{SPACE}]|\n[{SPACE}]|[\t\x0b-\r\x85\xa0  -     　]")
 _SPACES = frozenset(c for c in map(chr, range(0x3001)) if re.match(rf"[{SPACE}]", c))
 _TWO = (2,)
+#: Marks that make one pre-token behind letters. None of them begins a special string that ends in a mark, nor a contraction.
+_MARKS = ",.;:!?$*&%#"
+#: Beginnings of pieces of which a worker remembers the counts.
+STATES = 120_000
 _CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
 
 
@@ -70,11 +74,13 @@ class PrefixCounter:
             if len(t) == 1 or (t in self.made and self.apart(*self.made[t][1:], before=self.made[t][0])):
                 ends.setdefault(t[-2:], set()).add(len(t))
         self.vocab = {t: t for t in vocab if len(t) in ends.get(t[-2:], ())}
-        #: The same by the last three bytes, as far as tokens have them; what has no entry ends in one byte.
+        #: The same by the last four bytes, as far as tokens have them; else by the last three, of tokens of two or three.
+        self.short = {t: (3, 2) if t[-2:] in self.vocab else (3,) for t in self.vocab if len(t) == 3}
+        self.short |= {t[-3:]: (2,) if t[-2:] in self.vocab else () for t in self.vocab if len(t) > 3 and t[-3:] not in self.short}
         tails: dict[bytes, set[int]] = {}
         for t in self.vocab:
-            if len(t) > 2:
-                tails.setdefault(t[-3:], {len(t)} | ({2} if t[-2:] in self.vocab else set())).add(len(t))
+            if len(t) > 3:
+                tails.setdefault(t[-4:], set(self.short.get(t[-3:], _TWO))).add(len(t))
         self.tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
         self.pairs = Kept(lambda pair: self.apart(*pair), 200_000)
         self.states: dict[bytes, tuple[list[bytes], list[int]]] = {}
@@ -104,31 +110,44 @@ class PrefixCounter:
         """Deltas at each code point of one pre-token, by the recurrence."""
         data = text.encode("utf-8", "surrogatepass")
         n = len(data)
-        vocab, tails, pairs, states = self.vocab, self.tails, self.pairs, self.states
+        vocab, tails, short, pairs, states = self.vocab, self.tails, self.short, self.pairs, self.states
         at = min(n - n % 3, 63)
         while at and (state := states.get(data[:at])) is None:
             at -= 3
         if at:  # another piece began alike: go on from there
-            last, count = state[0][: at + 1], state[1][: at + 1]
+            last, count, steps = state[0][: at + 1], state[1][: at + 1], state[2][:at]
         else:
-            at, last, count = 1, [b"", data[:1]], [0, 1]
+            at, last, count, steps = 1, [b"", data[:1]], [0, 1], [1]
+        now = count[at]
         for i in range(at + 1, n + 1):
-            for k in tails.get(data[i - 3 : i] if i > 2 else b"", _TWO):
+            lengths = tails.get(data[i - 4 : i]) if i > 3 else None
+            if lengths is None:
+                lengths = short.get(data[i - 3 : i], _TWO) if i > 2 else _TWO
+            for k in lengths:
                 if k <= i and (t := vocab.get(data[i - k : i])) is not None and (k == i or pairs[last[i - k], t]):
-                    last.append(t)
-                    count.append(count[i - k] + 1)
+                    c = count[i - k] + 1
                     break
             else:
-                last.append(data[i - 1 : i])
-                count.append(count[i - 1] + 1)
+                t, c = data[i - 1 : i], now + 1
+            last.append(t)
+            count.append(c)
+            steps.append(c - now)
+            now = c
         if n <= 64:
-            if len(states) >= 120_000:
+            if len(states) >= STATES:
                 states.clear()
             for i in range(at - at % 3 + 3, n + 1, 3):
-                states[data[:i]] = last, count
-        if n != len(text):
-            count = [0, *(count[i] for i in range(1, n + 1) if i == n or data[i] & 0xC0 != 0x80)]
-        return _steps(count)
+                states[data[:i]] = last, count, steps
+        if n != len(text):  # only where code points end
+            steps, now, i = [], 0, 0
+            for char in text:
+                i += 1 if char < "\x80" else 2 if char < "\u0800" else 3 if char < "\U00010000" else 4
+                steps.append(count[i] - now)
+                now = count[i]
+        try:
+            return bytes(steps)
+        except ValueError:
+            return b"".join(map(_byte, steps))
 
     def make_piece(self, text: str) -> bytes:
         return self.contraction(text) if text in _CONTRACTIONS else self.piece(text)
@@ -168,7 +187,10 @@ class PrefixCounter:
     def unit(self, text: str) -> bytes:
         """Deltas of white space and what follows it."""
         if text[0] == " " and text.isascii() and text[1:].isalpha():
-            return self.pieces[text]
+            return self.pieces.get(text) or self.pieces.old.get(text) or self.piece(text)
+        word = text.rstrip(_MARKS)
+        if len(word) > 1 and word[0] == " " and word.isascii() and word[1:].isalpha() and len(word) < len(text):
+            return self.pieces[word] + self.pieces[text[len(word) :]]
         if not self.special_pattern:
             return self.plain(text)
         out, start = [], 0
