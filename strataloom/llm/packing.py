@@ -33,9 +33,7 @@ _SPLIT = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
 class WordIds:
     """Token ids of whole texts, as little-endian unsigned 32-bit ids, for a lower-casing vocabulary with word ends."""
 
-    WORDS, PARTS = 150_000, 50_000
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,8 +45,8 @@ class WordIds:
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in pattern
         self.model = self.tokenizer.model
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])).encode() or b"(?!)")
-        self.words = Kept(self.word, self.WORDS)
-        self.parts = Kept(self.part, self.PARTS)
+        self.words = Kept(self.word, words)
+        self.parts = Kept(self.part, words // 5)
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -82,13 +80,13 @@ class WordIds:
         return b"".join(map(self.words.__getitem__, text_bytes(text).split()))
 
 
-_IDS: dict[str, WordIds] = {}
+_IDS: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _IDS:
-        _IDS[path] = WordIds(path)
-    return _IDS[path]
+def word_ids(path: str, words: int) -> WordIds:
+    if (path, words) not in _IDS:
+        _IDS[path, words] = WordIds(path, words)
+    return _IDS[path, words]
 
 
 def piece_lengths(tokens: int, longest: int) -> list[int]:
@@ -106,8 +104,8 @@ def piece_lengths(tokens: int, longest: int) -> list[int]:
 PIECES = StructType([StructField("doc_id", LongType()), StructField("start", LongType()), StructField("length", LongType()), StructField("doc_tokens", LongType()), StructField("bucket", IntegerType()), StructField("ids", BinaryType())])
 
 
-def pack(docs: DataFrame, vocabulary: str, *, max_length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per piece: doc_id, start, length, doc_tokens, bucket (log2 of length), ids (little-endian unsigned
+def pack(docs: DataFrame, vocabulary: str, *, max_length: int = 2048, end_id: int = 1, words: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`words` is how many words a worker remembers the ids of, twice at most. A row per piece: doc_id, start, length, doc_tokens, bucket (log2 of length), ids (little-endian unsigned
     32-bit), sequence_id (one for each piece, unique over the table), offset (always 0)."""
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
@@ -115,7 +113,7 @@ def pack(docs: DataFrame, vocabulary: str, *, max_length: int = 2048, end_id: in
     names = [f.name for f in PIECES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_ids(vocabulary), array("I", [end_id]).tobytes()
+        encode, end = word_ids(vocabulary, words), array("I", [end_id]).tobytes()
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(),) * 4 + (pa.int32(), pa.binary()))], names)
