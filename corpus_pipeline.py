@@ -41,8 +41,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces whose lengths are powers of two, with their token ids."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    """Pieces whose lengths are powers of two, with their token ids. Fewer words are remembered than by default, as the
+    workers of earlier stages live on."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), words=150_000)
 
 
 STAGES = [
