@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, mixing, ngram_join, packing, quality_lm, quality_rules, token_counts, warc
+from . import chat_format, exact_dedup, language_id, lexical_search, mixing, ngram_join, packing, quality_lm, quality_rules, secret_scan, token_counts, warc, whitening
 from .common import new_folder
 
 
@@ -142,5 +142,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", token_counts.over_limit(F.col("n_tokens")).alias("over_limit"), "chars_in_budget")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_ngram_join, op4_packing, op5_quality_lm, op6_quality_rules, op7_language_id, op8_chat_format, op9_warc, op10_token_counts)}
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    spans, kinds = F.col("spans"), [r.kind for r in secret_scan.BASE]
+    counts = [F.size(secret_scan.of_kinds(spans, [kind])).cast("long").alias(f"n_{kind}") for kind in kinds]
+    base = F.sha2(secret_scan.joined(secret_scan.of_kinds(spans, kinds)), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), secret_scan.joined(spans).alias("spans"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"), components=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_ngram_join, op4_packing, op5_quality_lm, op6_quality_rules, op7_language_id, op8_chat_format, op9_warc, op10_token_counts, op11_secret_scan, op12_lexical_search, op13_whitening)}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op8_chat_format": OP8_SQL, "op9_warc": OP9_SQL}
