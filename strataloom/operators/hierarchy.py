@@ -1,13 +1,16 @@
 """Ancestors, descendants, paths and cycles of elements in a parent hierarchy, for any number of models at once.
 
-Elements that are somebody's parent are few beside all elements. Their ways to the top are found first, as arrays, by
-pointer doubling: depth d takes log2(d) rounds. All elements then join their parent's way once, and whatever is asked of
-ancestors (nearest visible, system, path) is an expression over that array. An element with very many children is a
-skewed key of that one join, which adaptive execution splits.
+Elements that are somebody's parent are few beside all elements. What is asked of their ways to the top is found first, by
+pointer doubling: depth d takes log2(d) rounds. All elements then join their parent's row once. `nearest` keeps of a way
+its nearest stops alone (visible, system, to be deleted), in narrow rows at any depth; `chains` keeps all of it as an
+array, for results that hold whole ways (paths, closure, order). An element with very many children is a skewed key of
+that one join, which adaptive execution splits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +32,13 @@ def parents(elements: DataFrame) -> DataFrame:
     return last_by_id(elements, "parent_id")
 
 
-def chains(elements: DataFrame, *columns: str, marked: DataFrame | None = None, rounds: int = 64) -> DataFrame:
-    """(model_id, id, path, loop): path is the element and its ancestors up to the top, as structs of id, found (false for a
+def chains(elements: DataFrame, *columns: str, marked: DataFrame | None = None, own: tuple[str, ...] = (), rounds: int = 64) -> DataFrame:
+    """(model_id, id, path, loop, and the columns in own of the element itself): path is the element and its ancestors up to the top, as structs of id, found (false for a
     parent that doesn't exist, which ends the way), the columns named, and is_marked (whether the id is among
     marked(model_id, id)). On a cycle everything stands once, and loop is the id at which the way meets itself: the
     element's own if it is on the cycle, another's if it is below one."""
     shared_dir(elements.sparkSession)
-    up = last_by_id(elements, "parent_id", *columns).withColumn("found", F.lit(True))
+    up = last_by_id(elements, "parent_id", *columns, *own).withColumn("found", F.lit(True))
     if marked is not None:
         ids = marked.select(*KEY).distinct().withColumn("is_marked", F.lit(True)).checkpoint()
         few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -45,18 +48,17 @@ def chains(elements: DataFrame, *columns: str, marked: DataFrame | None = None,
     # Ways of parents, those that don't exist among them.
     inner = up.filter("parent_id IS NOT NULL").select("model_id", F.col("parent_id").alias("id")).distinct()
     known = inner.join(up, KEY)
-    lost = with_marks(inner.join(up, KEY, "left_anti").withColumns({"parent_id": F.lit(None).cast("string"), "found": F.lit(False)} | {c: F.lit(None).cast(up.schema[c].dataType) for c in columns}))
+    lost = with_marks(inner.join(up, KEY, "left_anti").withColumns({"parent_id": F.lit(None).cast("string"), "found": F.lit(False)} | {c: F.lit(None).cast(up.schema[c].dataType) for c in (*columns, *own)}))
     way = known.select(*up.columns).unionByName(lost.select(*up.columns)).select(*KEY, F.array(node).alias("path"), F.col("parent_id").alias("next"), F.lit(None).cast("string").alias("loop")).checkpoint()
     for _ in range(rounds):
         if not way.filter("next IS NOT NULL").limit(1).count():
             break
         onward = way.select("model_id", F.col("id").alias("next"), F.col("path").alias("tail"), F.col("next").alias("after"), F.col("loop").alias("tail_loop"))
         both = way.join(onward, ["model_id", "next"], "left")
-        own = F.transform("path", lambda x: x["id"])
-        again = F.filter("tail", lambda x: F.array_contains(F.col("own"), x["id"]))
-        both = both.withColumn("own", own).withColumn("again", again)
+        again = F.filter("tail", lambda x: F.array_contains(F.col("seen"), x["id"]))
+        both = both.withColumn("seen", F.transform("path", lambda x: x["id"])).withColumn("again", again)
         met = F.col("tail").isNotNull() & (F.size("again") > 0)
-        path = F.when(F.col("tail").isNull(), F.col("path")).otherwise(F.concat("path", F.filter("tail", lambda x: ~F.array_contains(F.col("own"), x["id"]))))
+        path = F.when(F.col("tail").isNull(), F.col("path")).otherwise(F.concat("path", F.filter("tail", lambda x: ~F.array_contains(F.col("seen"), x["id"]))))
         way = both.select(*KEY, path.alias("path"), F.when(~met, F.col("after")).alias("next"), F.when(met, F.col("again")[0]["id"]).otherwise(F.coalesce("loop", "tail_loop")).alias("loop")).checkpoint()
     else:
         raise RuntimeError(f"ways to the top don't end in {rounds} rounds")
@@ -64,7 +66,107 @@ def chains(elements: DataFrame, *columns: str, marked: DataFrame | None = None,
     rows = up.join(above, ["model_id", "parent_id"], "left")
     itself = F.col("above").isNotNull() & F.exists("above", lambda x: x["id"] == F.col("id"))
     path = F.when(F.col("above").isNull(), F.array(node)).otherwise(F.concat(F.array(node), F.filter("above", lambda x: x["id"] != F.col("id"))))
-    return rows.select(*KEY, path.alias("path"), F.when(itself, F.col("id")).otherwise(F.col("above_loop")).alias("loop"))
+    return rows.select(*KEY, path.alias("path"), F.when(itself, F.col("id")).otherwise(F.col("above_loop")).alias("loop"), *own)
+
+
+def _jumped(ways: DataFrame, values: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """ways(model_id, id, next, values) of the elements that are somebody's parent, each value joined by its function with
+    that of what lies further up, for all of the way. next is where the way goes on from there: null at its end, else
+    on a cycle. Each round doubles what a row has seen, so that a way of d steps takes log2(d) rounds; rows stay narrow.
+
+    Ways that end have ended when a round leaves as many open as before, since of a longer one some part would have ended
+    in it; the open ones then all lead into cycles, and have gone all round when they have seen as many elements as are
+    open."""
+    seen, before = 1, -1
+    while (left := ways.filter("next IS NOT NULL").count()) and not (left == before and seen >= left):
+        onward = ways.select("model_id", F.col("id").alias("next"), F.col("next").alias("after"), *[F.col(v).alias(f"{v}_after") for v in values])
+        both = ways.join(onward, ["model_id", "next"], "left")
+        ways = both.select(*KEY, F.col("after").alias("next"), *[join(F.col(v), F.col(f"{v}_after")).alias(v) for v, join in values.items()]).checkpoint()
+        seen, before = 2 * seen, left
+    return ways
+
+
+def nearest(elements: DataFrame, stops: dict[str, DataFrame | Column], *columns: str, marked: DataFrame | None = None, beside: DataFrame | None = None, merge: dict[str, Callable[[Column, Column], Column]] | None = None, itself: bool = True) -> DataFrame:
+    """(model_id, id, and for each of stops the value of the nearest ancestor that is one, itself included unless told
+    otherwise; null where there is none). A stop is a table of ids, whose value is the id, or an expression over an
+    element's id, found, parent_id, the columns named, is_marked (whether its id is in marked) and the columns of beside (a
+    table with one row for an id) that is null where it isn't one. Parents that don't exist can be stops. With a function
+    in merge, of the nearer value and the farther, a stop's values are joined by it instead of the nearest being taken.
+
+    Nothing is kept of a way but its nearest stops. elements is read three times."""
+    shared_dir(elements.sparkSession)
+    tables = {name: s for name, s in stops.items() if isinstance(s, DataFrame)} | ({"is_marked": marked} if marked is not None else {})
+    flags = {}
+    for name, ids in tables.items():
+        known = ids.select(*KEY).distinct().checkpoint()
+        flags[f"at_{name}"] = F.broadcast(known) if known.count() <= BROADCAST_IDS else known
+    names = {name: (merge or {}).get(name, F.coalesce) for name in stops}
+
+    def valued(nodes: DataFrame) -> DataFrame:
+        for flag, ids in flags.items():
+            nodes = nodes.join(ids.withColumn(flag, F.lit(True)), KEY, "left").withColumn(flag, F.col(flag).isNotNull())
+        nodes = nodes.withColumn("is_marked", F.col("at_is_marked") if marked is not None else F.lit(False))
+        if beside is not None:
+            nodes = nodes.join(beside, KEY, "left")
+        return nodes.select(*KEY, "parent_id", *[(F.when(F.col(f"at_{n}"), F.col("id")) if isinstance(s, DataFrame) else s).alias(n) for n, s in stops.items()])
+
+    inner = elements.select("model_id", F.nullif("parent_id", F.lit("")).alias("id")).filter("id IS NOT NULL").distinct().checkpoint()
+    known = last_by_id(elements.join(inner, KEY, "left_semi").select(*elements.columns), "parent_id", *columns).withColumn("found", F.lit(True)).checkpoint()
+    lost = inner.join(known, KEY, "left_anti").withColumns({"parent_id": F.lit(None).cast("string"), "found": F.lit(False)} | {c: F.lit(None).cast(known.schema[c].dataType) for c in columns})
+    ways = _jumped(valued(known.unionByName(lost.select(*known.columns))).withColumnRenamed("parent_id", "next").checkpoint(), names)
+    above = ways.select("model_id", F.col("id").alias("parent_id"), *[F.col(n).alias(f"{n}_above") for n in names])
+    rows = valued(last_by_id(elements, "parent_id", *columns).withColumn("found", F.lit(True))).join(above, ["model_id", "parent_id"], "left")
+    return rows.select(*KEY, *[(join(F.col(n), F.col(f"{n}_above")) if itself else F.col(f"{n}_above")).alias(n) for n, join in names.items()])
+
+
+def _jumped(ways: DataFrame, values: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """ways(model_id, id, next, values) of the elements that are somebody's parent, each value joined by its function with
+    that of what lies further up, for all of the way. next is where the way goes on from there: null at its end, else
+    on a cycle. Each round doubles what a row has seen, so that a way of d steps takes log2(d) rounds; rows stay narrow.
+
+    Ways that end have ended when a round leaves as many open as before, since of a longer one some part would have ended
+    in it; the open ones then all lead into cycles, and have gone all round when they have seen as many elements as are
+    open."""
+    seen, before = 1, -1
+    while (left := ways.filter("next IS NOT NULL").count()) and not (left == before and seen >= left):
+        onward = ways.select("model_id", F.col("id").alias("next"), F.col("next").alias("after"), *[F.col(v).alias(f"{v}_after") for v in values])
+        both = ways.join(onward, ["model_id", "next"], "left")
+        ways = both.select(*KEY, F.col("after").alias("next"), *[join(F.col(v), F.col(f"{v}_after")).alias(v) for v, join in values.items()]).checkpoint()
+        seen, before = 2 * seen, left
+    return ways
+
+
+def nearest(elements: DataFrame, stops: dict[str, DataFrame | Column], *columns: str, marked: DataFrame | None = None, beside: DataFrame | None = None, merge: dict[str, Callable[[Column, Column], Column]] | None = None, itself: bool = True) -> DataFrame:
+    """(model_id, id, and for each of stops the value of the nearest ancestor that is one, itself included unless told
+    otherwise; null where there is none). A stop is a table of ids, whose value is the id, or an expression over an
+    element's id, found, parent_id, the columns named, is_marked (whether its id is in marked) and the columns of beside (a
+    table with one row for an id) that is null where it isn't one. Parents that don't exist can be stops. With a function
+    in merge, of the nearer value and the farther, a stop's values are joined by it instead of the nearest being taken.
+
+    Nothing is kept of a way but its nearest stops. elements is read three times."""
+    shared_dir(elements.sparkSession)
+    tables = {name: s for name, s in stops.items() if isinstance(s, DataFrame)} | ({"is_marked": marked} if marked is not None else {})
+    flags = {}
+    for name, ids in tables.items():
+        known = ids.select(*KEY).distinct().checkpoint()
+        flags[f"at_{name}"] = F.broadcast(known) if known.count() <= BROADCAST_IDS else known
+    names = {name: (merge or {}).get(name, F.coalesce) for name in stops}
+
+    def valued(nodes: DataFrame) -> DataFrame:
+        for flag, ids in flags.items():
+            nodes = nodes.join(ids.withColumn(flag, F.lit(True)), KEY, "left").withColumn(flag, F.col(flag).isNotNull())
+        nodes = nodes.withColumn("is_marked", F.col("at_is_marked") if marked is not None else F.lit(False))
+        if beside is not None:
+            nodes = nodes.join(beside, KEY, "left")
+        return nodes.select(*KEY, "parent_id", *[(F.when(F.col(f"at_{n}"), F.col("id")) if isinstance(s, DataFrame) else s).alias(n) for n, s in stops.items()])
+
+    inner = elements.select("model_id", F.nullif("parent_id", F.lit("")).alias("id")).filter("id IS NOT NULL").distinct().checkpoint()
+    known = last_by_id(elements.join(inner, KEY, "left_semi").select(*elements.columns), "parent_id", *columns).withColumn("found", F.lit(True)).checkpoint()
+    lost = inner.join(known, KEY, "left_anti").withColumns({"parent_id": F.lit(None).cast("string"), "found": F.lit(False)} | {c: F.lit(None).cast(known.schema[c].dataType) for c in columns})
+    ways = _jumped(valued(known.unionByName(lost.select(*known.columns))).withColumnRenamed("parent_id", "next").checkpoint(), names)
+    above = ways.select("model_id", F.col("id").alias("parent_id"), *[F.col(n).alias(f"{n}_above") for n in names])
+    rows = valued(last_by_id(elements, "parent_id", *columns).withColumn("found", F.lit(True))).join(above, ["model_id", "parent_id"], "left")
+    return rows.select(*KEY, *[(join(F.col(n), F.col(f"{n}_above")) if itself else F.col(f"{n}_above")).alias(n) for n, join in names.items()])
 
 
 def first_of(path: Column | str, test) -> Column:
@@ -79,29 +181,40 @@ def ancestor_closure(elements: DataFrame) -> DataFrame:
 
 
 def cycles(elements: DataFrame) -> DataFrame:
-    """(model_id, id, on_cycle): elements on a parent cycle, or below one."""
-    return chains(elements).filter("loop IS NOT NULL").select(*KEY, (F.col("loop") == F.col("id")).alias("on_cycle"))
+    """(model_id, id, on_cycle): elements on a parent cycle, or below one. Where open ways have come to after at least as
+    many steps as there are of them is on a cycle, and every element of a cycle is come to from another."""
+    shared_dir(elements.sparkSession)
+    up = parents(elements).checkpoint()
+    inner = up.select("model_id", F.col("parent_id").alias("id")).filter("id IS NOT NULL").distinct()
+    ways = _jumped(up.join(inner, KEY, "left_semi").withColumnRenamed("parent_id", "next").checkpoint(), {})
+    open_ways = ways.filter("next IS NOT NULL")
+    on = open_ways.select("model_id", F.col("next").alias("id")).distinct().withColumn("on_cycle", F.lit(True))
+    below = up.join(open_ways.select("model_id", F.col("id").alias("parent_id")), ["model_id", "parent_id"], "left_semi").select(*KEY)
+    return below.join(on, KEY, "left").select(*KEY, F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
 
 
 def nearest_visible(elements: DataFrame, visible: DataFrame) -> DataFrame:
     """(model_id, id, visible_id). A visible id that no element has is its own nearest visible ancestor."""
-    return ends(elements, visible).filter("visible_id IS NOT NULL").select(*KEY, "visible_id")
+    rows = nearest(elements, {"visible_id": visible}).filter("visible_id IS NOT NULL")
+    return rows.unionByName(_alone(elements, visible).withColumn("visible_id", F.col("id")))
+
+
+def _alone(elements: DataFrame, visible: DataFrame) -> DataFrame:
+    return visible.select(*KEY).distinct().join(elements.select(*KEY), KEY, "left_anti")
 
 
 def ends(elements: DataFrame, visible: DataFrame) -> DataFrame:
     """(model_id, id, visible_id, system_id, shown, system_shown): the nearest visible ancestor-or-self and the nearest
     that is a system or a person, and whether the element and that system are visible themselves."""
-    rows = chains(elements, "kind", marked=visible).withColumn("system", first_of("path", lambda x: x["kind"].isin("system", "person")))
-    seen = first_of("path", lambda x: x["is_marked"])["id"]
-    rows = rows.select(*KEY, seen.alias("visible_id"), F.col("system.id").alias("system_id"), F.col("path")[0]["is_marked"].alias("shown"), F.coalesce("system.is_marked", F.lit(False)).alias("system_shown"))
-    alone = visible.select(*KEY).distinct().join(elements.select(*KEY), KEY, "left_anti")
-    return rows.unionByName(alone.select(*KEY, F.col("id").alias("visible_id"), F.lit(None).cast("string").alias("system_id"), F.lit(True).alias("shown"), F.lit(False).alias("system_shown")))
+    system = F.when(F.col("kind").isin("system", "person"), F.struct("id", "is_marked"))
+    rows = nearest(elements, {"visible_id": F.when(F.col("is_marked"), F.col("id")), "system": system}, "kind", marked=visible)
+    rows = rows.select(*KEY, "visible_id", F.col("system.id").alias("system_id"), F.coalesce(F.col("visible_id") == F.col("id"), F.lit(False)).alias("shown"), F.coalesce("system.is_marked", F.lit(False)).alias("system_shown"))
+    return rows.unionByName(_alone(elements, visible).select(*KEY, F.col("id").alias("visible_id"), F.lit(None).cast("string").alias("system_id"), F.lit(True).alias("shown"), F.lit(False).alias("system_shown")))
 
 
 def system_ancestor(elements: DataFrame) -> DataFrame:
     """(model_id, id, system_id): the nearest ancestor-or-self that is a system or a person."""
-    system = first_of("path", lambda x: x["kind"].isin("system", "person"))["id"]
-    return chains(elements, "kind").select(*KEY, system.alias("system_id")).filter("system_id IS NOT NULL")
+    return nearest(elements, {"system_id": F.when(F.col("kind").isin("system", "person"), F.col("id"))}, "kind").filter("system_id IS NOT NULL")
 
 
 def found_names(path: str, field: str = "name") -> Column:
@@ -129,6 +242,15 @@ def breadcrumbs(elements: DataFrame, foci: DataFrame) -> DataFrame:
 
 
 def descendants(elements: DataFrame, ids: DataFrame) -> DataFrame:
-    """(model_id, root_id, id): all strict descendants of ids(model_id, id). Bounded on cycles, too."""
-    above = F.filter("path", lambda x: x["is_marked"] & (x["id"] != F.col("id")))
-    return chains(elements, marked=ids).select("model_id", F.explode(F.transform(above, lambda x: x["id"])).alias("root_id"), "id")
+    """(model_id, root_id, id): all strict descendants of ids(model_id, id). Bounded on cycles, too. Each element takes the
+    nearest root above it, and that root's roots from the roots' own hierarchy, so that the work is that of the result."""
+    roots = ids.select(*KEY).distinct()
+    direct = nearest(elements, {"up": roots}, itself=False).filter("up IS NOT NULL").checkpoint()
+    of_roots = roots.join(direct, KEY, "left").select(*KEY, F.col("up").alias("parent_id"), F.lit(0).alias("ord"))
+    above = ancestor_closure(of_roots).select("model_id", F.col("id").alias("up"), F.col("anc").alias("root_id"))
+    return direct.join(above, ["model_id", "up"]).filter("root_id <> id").select("model_id", "root_id", "id")
+
+
+def below(elements: DataFrame, ids: DataFrame) -> DataFrame:
+    """(model_id, id) of elements that have one of ids above them."""
+    return nearest(elements, {"up": ids}, itself=False).filter("up IS NOT NULL").select(*KEY)

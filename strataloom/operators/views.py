@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import shared_dir
 from . import hierarchy
 from .hierarchy import KEY
 from .layout import place_in_model
@@ -34,7 +35,7 @@ def _lifted(rels: DataFrame, elements: DataFrame, visible: DataFrame) -> DataFra
 
     Both ends inside the view: lifted, unless both lift to one element. One end outside: its system or person stands
     for it, unless that is visible or missing. Both outside: dropped."""
-    ends = hierarchy.ends(elements, visible).filter("visible_id IS NOT NULL OR system_id IS NOT NULL").checkpoint()
+    ends = hierarchy.ends(elements, visible).filter("visible_id IS NOT NULL OR system_id IS NOT NULL")
     side = lambda p: ends.select("model_id", F.col("id").alias(f"{p}_id"), F.col("visible_id").alias(f"{p}_visible"), F.when(~F.col("system_shown"), F.col("system_id")).alias(f"{p}_outside"), F.col("shown").alias(f"{p}_shown"))
     rows = rels.join(side("source"), ["model_id", "source_id"], "left").join(side("target"), ["model_id", "target_id"], "left")
     rows = rows.filter(~(F.coalesce("source_shown", F.lit(False)) & F.coalesce("target_shown", F.lit(False))))
@@ -82,6 +83,31 @@ def search_options(options: DataFrame, query: str) -> DataFrame:
     return options.filter(F.lower("label").contains(q) | F.coalesce(F.lower("sublabel").contains(q), F.lit(False)))
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of n characters of a text; none if it is shorter."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def search_many(options: DataFrame, queries: DataFrame) -> DataFrame:
+    """queries(query_id, model_id, query) -> (query_id, model_id, id): for each query the options of its model that
+    search_options gives. A query asks by its rarest run of three characters (or by the whole of it, if it is shorter)
+    an index of the options' runs, and what it meets is searched; a blank query meets all options of its model. Null
+    queries find nothing."""
+    shared_dir(options.sparkSession)
+    q = F.lower("query")
+    asked = queries.filter("query IS NOT NULL").select("query_id", "model_id", q.alias("q"), (F.length(F.trim(F.regexp_replace("query", r"\s", ""))) == 0).alias("blank"))
+    texts = options.select("model_id", "id", F.lower("label").alias("label"), F.coalesce(F.lower("sublabel"), F.lit("")).alias("sublabel"))
+    grams = F.when(F.length("q") == 1, _grams(F.col("q"), 1)).when(F.length("q") == 2, _grams(F.col("q"), 2)).otherwise(_grams(F.col("q"), 3))
+    wanted = asked.filter("NOT blank").withColumn("gram", F.explode(grams)).checkpoint()
+    runs = texts.withColumn("gram", F.explode(F.array_distinct(F.concat(*[_grams(F.col(c), n) for c in ("label", "sublabel") for n in (1, 2, 3)]))))
+    indexed = runs.join(wanted.select("model_id", "gram").distinct(), ["model_id", "gram"], "left_semi").checkpoint()
+    counted = wanted.join(indexed.groupBy("model_id", "gram").agg(F.count("*").alias("n")), ["model_id", "gram"], "left")
+    rarest = counted.groupBy("query_id", "model_id", "q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0").select("query_id", "model_id", "q", F.col("r.gram").alias("gram"))
+    met = rarest.join(indexed, ["model_id", "gram"]).filter(F.col("label").contains(F.col("q")) | F.col("sublabel").contains(F.col("q")))
+    every = asked.filter("blank").join(options.select("model_id", "id"), "model_id")
+    return met.select("query_id", "model_id", "id").unionByName(every.select("query_id", "model_id", "id"))
+
+
 def external_positions(nodes: DataFrame, externals: DataFrame, stored: DataFrame, boundary_ids: DataFrame) -> DataFrame:
     """(model_id, view_id, element_id, x, y, w, h): externals in first-seen order in a column left of the boundary's
     nodes; positions stored for them win."""

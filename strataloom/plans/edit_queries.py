@@ -188,8 +188,20 @@ def named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("name", name)
 
 
-@query(PRE + NAMED + """, found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parent_id, name ORDER BY ord, id) AS nth, min(ord) OVER (PARTITION BY name) AS first FROM e) WHERE nth > 1 OR (parent_id IS NULL AND ord > first))
-SELECT model_id, id, name FROM found WHERE id NOT IN (SELECT c.id FROM closure c WHERE depth > 0 AND anc IN (SELECT id FROM found))""")
+_SLUGS = f", slugs AS (SELECT c.model_id, c.id, string_agg({SLUG.format('u.name')}, '.' ORDER BY depth DESC) AS slug FROM closure c JOIN e2 u ON u.id = c.anc GROUP BY 1, 2)"
+
+
+def _scopes() -> str:
+    """Level by level: of the elements whose parent registered, the first of each scope and name registers."""
+    steps = []
+    for i, kinds in enumerate(("'landscape'", "'system', 'person'", "'container'", "'component'", "'code'")):
+        parents = f"AND parent_id IN (SELECT id FROM level{i - 1} WHERE nth = 1)" if i else ""
+        steps.append(f"level{i} AS (SELECT k.*, row_number() OVER (PARTITION BY scope, name ORDER BY ord) AS nth FROM k WHERE kind IN ({kinds}) {parents})")
+    return ", ".join(steps)
+
+
+@query(PRE + NAMED + ", e2 AS (SELECT e.model_id, e.id, e.name FROM e QUALIFY row_number() OVER (PARTITION BY e.id ORDER BY e.ord DESC) = 1)" + _SLUGS + f""", k AS (SELECT e.*, u.kind, s.slug AS scope FROM e JOIN uniq u ON u.id = e.id LEFT JOIN slugs s ON s.id = e.parent_id), {_scopes()}
+SELECT model_id, id, name, scope FROM ({' UNION ALL '.join(f'SELECT * FROM level{i}' for i in range(5))}) WHERE nth > 1""")
 def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.duplicate_names(named(spark, sf_dir))
 
@@ -234,7 +246,18 @@ def customer_models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return reduce(DataFrame.unionByName, parts), rels
 
 
-@query()
+_SUPPLY = "SELECT DISTINCT o_custkey, l_orderkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
+def _block(inside: str, indent: str) -> str:
+    return f"coalesce(' {{' || chr(10) || {inside} || chr(10) || '{indent}}}', '')"
+
+
+@query(f"""WITH s AS (SELECT l_orderkey, string_agg('    code "Supply ' || l_orderkey::VARCHAR || ' ' || l_suppkey::VARCHAR || '"', chr(10) ORDER BY l_suppkey) AS t FROM ({_SUPPLY}) GROUP BY 1),
+o AS (SELECT o_custkey, string_agg('  component "Order ' || o_orderkey::VARCHAR || '"' || {_block('t', '  ')}, chr(10) ORDER BY o_orderkey) AS t FROM orders LEFT JOIN s ON l_orderkey = o_orderkey GROUP BY 1),
+l AS (SELECT o_custkey, lpad(l_orderkey::VARCHAR, 12, '0') || lpad(l_linenumber::VARCHAR, 4, '0') || lpad(l_suppkey::VARCHAR, 12, '0') || lpad(l_partkey::VARCHAR, 12, '0') AS k, '"Order ' || l_orderkey::VARCHAR || '" -> "Supply ' || l_orderkey::VARCHAR || ' ' || l_suppkey::VARCHAR || '" [type="' || l_returnflag || '"]' AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+r AS (SELECT o_custkey, string_agg(line, chr(10) ORDER BY k, line) AS t FROM l GROUP BY 1)
+SELECT c_custkey::VARCHAR AS model_id, 'version "1"' || chr(10) || chr(10) || 'container "' || c_name || '"' || {_block('o.t', '')} || coalesce(chr(10) || chr(10) || r.t, '') AS text FROM customer LEFT JOIN o ON o.o_custkey = c_custkey LEFT JOIN r ON r.o_custkey = c_custkey""")
 def render_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text document for each customer's model."""
     return text.render_text(*customer_models(spark, sf_dir))
@@ -268,14 +291,21 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spoilt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered models, four in five with a fault by the customer's key."""
     docs = render_text(spark, sf_dir).withColumnRenamed("model_id", "doc_id").join(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("doc_id"), "c_name"), "doc_id")
-    k, body = F.col("doc_id").cast("long") % 5, F.col("text")
-    fault = F.when(k == 1, F.replace(body, F.lit('version "1"'), F.lit('version "2.0.0"'))).when(k == 2, F.concat(body, F.lit('container "'), "c_name", F.lit('"'))).when(k == 3, F.concat(body, F.lit('"ghost" -> "'), "c_name", F.lit('"'))).when(k == 4, F.lit('version "1" # nothing')).otherwise(body)
+    number, body = F.col("doc_id").cast("long"), F.col("text")
+    k, head = number % 5, F.lit('version "1"\n')
+    again = F.when(number % 2 == 0, F.concat(F.lit('\ncontainer "'), "c_name", F.lit('"'))).otherwise(F.lit('\nsystem "A B" { container "X" }\nsystem "A-B" { container "X" [tags="t"] }'))
+    fault = (
+        F.when(k == 1, F.replace(body, head, F.lit('version "2.0.0"\n'))).when(k == 2, F.concat(body, again)).when(k == 3, F.replace(body, head, F.concat(head, F.lit('"ghost" -> "'), "c_name", F.lit('"\n'))))
+        .when(k == 4, F.lit('version "1" # nothing')).otherwise(body)
+    )
     return docs.select("doc_id", fault.alias("text"))
 
 
-@query("""SELECT c_custkey::VARCHAR AS doc_id, CASE c_custkey % 5 WHEN 1 THEN 'UNSUPPORTED_VERSION' WHEN 2 THEN 'DUPLICATE_NAME' WHEN 3 THEN 'UNRESOLVED_REFERENCE' ELSE 'EMPTY_DOCUMENT' END AS error_code, CASE c_custkey % 5 WHEN 2 THEN c_name WHEN 3 THEN 'ghost' END AS element_name FROM customer WHERE c_custkey % 5 <> 0""")
+@query("""SELECT c_custkey::VARCHAR AS doc_id, CASE k WHEN 1 THEN 'UNSUPPORTED_VERSION' WHEN 2 THEN 'DUPLICATE_NAME' WHEN 3 THEN 'UNRESOLVED_REFERENCE' ELSE 'EMPTY_DOCUMENT' END AS error_code, CASE k WHEN 2 THEN again WHEN 3 THEN 'ghost' END AS element_name, CASE k WHEN 1 THEN 1 WHEN 3 THEN 2 END::INT AS line,
+  CASE k WHEN 1 THEN 'DSL version ''2.0.0'' is not supported. Only version ''1'' is accepted.' WHEN 2 THEN 'Duplicate element name ''' || again || ''' in scope ''' || scope || '''' WHEN 3 THEN 'Element ''ghost'' is not declared in this document' ELSE 'Document contains no elements. At least one element must be declared.' END AS message
+FROM (SELECT c_custkey, c_custkey % 5 AS k, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'X' END AS again, CASE WHEN c_custkey % 2 = 0 THEN 'root' ELSE 'a-b' END AS scope FROM customer) WHERE k <> 0""")
 def document_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.document_checks(spoilt_texts(spark, sf_dir)).select("doc_id", "error_code", "element_name")
+    return text.document_checks(spoilt_texts(spark, sf_dir)).select("doc_id", "error_code", "message", "line", "element_name")
 
 
 @query(f"""WITH c AS (SELECT c_custkey, {SLUG.format('c_name')} AS slug, c_name FROM customer), o AS (SELECT o.o_orderkey, c.c_custkey, c.slug || '.order-' || o_orderkey::VARCHAR AS slug, c.slug AS up FROM orders o JOIN c ON o.o_custkey = c.c_custkey)

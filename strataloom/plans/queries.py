@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dimensions
-from ..operators import hierarchy, layout, rules, views
+from ..operators import all_views, hierarchy, layout, rules, views
 from . import adapters as a
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,12 +184,6 @@ def looped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements.withColumn("parent_id", F.when(F.col("id") == "r:1", F.lit(f"n:{first}")).otherwise(F.col("parent_id")))
 
 
-@query(ORACLES["cycles"])
-def cycles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The name under which cycles took every element before."""
-    return cycles(spark, sf_dir)
-
-
 # Rules, over one model for each nation.
 
 
@@ -264,6 +258,23 @@ def violations_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.count_by_code(rules.violations(*corpus(spark, sf_dir)))
 
 
+_KEY = "TRY_CAST(split_part(substr(id, 3), '.', 1) AS BIGINT)"
+_AFTER = CORPUS.replace("WITH elements AS (", "WITH elements AS (SELECT * REPLACE (CASE WHEN id LIKE 's:%' AND {k} % 5 = 0 THEN 'component' ELSE kind END AS kind) FROM (").replace("), relationships AS (", ") WHERE NOT (id LIKE 'c:%' AND {k} % 9 = 0)), relationships AS (SELECT * FROM (", 1).replace("), views AS (", ") WHERE {k} % 8 <> 0), views AS (", 1).replace("{k}", _KEY)
+
+
+@query(f"{_AFTER} {' UNION ALL '.join(f'SELECT * FROM ({x})' for x in (_IDS, _REFS, _H, _L, _A, _C))}")
+def revalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations after customers and edges have gone and suppliers have changed their kind, from those before: only rows
+    that changed, or that name what changed, are judged again."""
+    before = corpus(spark, sf_dir)
+    elements, rels, *rest = before
+    number = F.substring_index(F.substring("id", 3, 99), ".", 1).try_cast("long")
+    gone, altered, cut = F.col("id").startswith("c:") & (number % 9 == 0), F.col("id").startswith("s:") & (number % 5 == 0), number % 8 == 0
+    after = (elements.filter(~gone).withColumn("kind", F.when(altered, "component").otherwise(F.col("kind"))), rels.filter(~cut), *rest)
+    changed = elements.filter(gone | altered).select("model_id", "id").unionByName(rels.filter(cut).select("model_id", "id"))
+    return rules.revalidate(rules.violations(*before), before, after, changed)
+
+
 # Layout and drawing tables.
 
 
@@ -279,12 +290,6 @@ def grid_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.grid_layout(layout.place_in_model(estate(spark, sf_dir)[0]), F.col("nth"))
 
 
-@query(ORACLES["grid_layout"])
-def grid_layout_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The name under which grid_layout took every element before."""
-    return grid_layout(spark, sf_dir)
-
-
 @query(PRE + " SELECT model_id, id AS relationship_id FROM relationships WHERE source_id IN (SELECT id FROM elements) AND target_id IN (SELECT id FROM elements)")
 def layout_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     elements, rels = estate(spark, sf_dir)
@@ -385,3 +390,59 @@ def node_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     elements = elements.withColumns({"description": F.lpad(F.lit(""), F.length("name") * 17 + 70, F.lit("ab")), "technology": F.when(own, "JVM"), "component_type": null, "formatting": F.when(own, F.struct(F.lit("#aabbcc").alias("background_color"), null.alias("border_color"), null.alias("font_color")))})
     nodes = elements.select("model_id", F.lit("v").alias("view_id"), F.col("id").alias("element_id"), F.when(F.col("kind") == "system", F.lit(150.0)).alias("w"), F.lit(None).cast("double").alias("h")).distinct()
     return layout.node_style(nodes, elements, elements.filter("kind = 'person'"))
+
+
+# All views at once.
+
+_SHOWN = """, shown(view_id, id) AS (SELECT DISTINCT 'landscape', id FROM elements WHERE kind IN ('system', 'person') UNION SELECT 'in ' || parent_id, id FROM elements WHERE kind IN ('container', 'component')),
+nv AS (SELECT view_id, c.id, arg_min(c.anc, c.depth) AS v FROM closure c JOIN shown s ON s.id = c.anc GROUP BY ALL),
+sa AS (SELECT c.id, arg_min(c.anc, c.depth) AS s FROM closure c JOIN uniq u ON u.id = c.anc AND u.kind IN ('system', 'person') GROUP BY c.id),
+met AS (SELECT r.id AS rel, view_id FROM relationships r JOIN nv ON nv.id = r.source_id UNION SELECT r.id, view_id FROM relationships r JOIN nv ON nv.id = r.target_id),
+rows AS (
+  SELECT r.*, m.view_id, n1.v AS v1, n2.v AS v2, CASE WHEN n1.v IS NULL AND h1.id IS NULL THEN s1.s END AS o1, CASE WHEN n2.v IS NULL AND h2.id IS NULL THEN s2.s END AS o2
+  FROM (SELECT * FROM relationships) r JOIN met m ON m.rel = r.id LEFT JOIN nv n1 ON n1.view_id = m.view_id AND n1.id = r.source_id LEFT JOIN nv n2 ON n2.view_id = m.view_id AND n2.id = r.target_id
+  LEFT JOIN sa s1 ON s1.id = r.source_id LEFT JOIN sa s2 ON s2.id = r.target_id LEFT JOIN shown h1 ON h1.view_id = m.view_id AND h1.id = s1.s LEFT JOIN shown h2 ON h2.view_id = m.view_id AND h2.id = s2.s WHERE n1.v IS NOT NULL OR n2.v IS NOT NULL),
+lifts AS (SELECT *, coalesce(v1, o1) AS src, coalesce(v2, o2) AS tgt, coalesce(v1 = source_id AND v2 = target_id, false) AS direct, coalesce(o1, o2) AS ext FROM rows),
+kept AS (SELECT * FROM lifts WHERE direct OR (src IS NOT NULL AND tgt IS NOT NULL AND src <> tgt))"""
+
+
+def every_view(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A view of the landscape, one inside each system, and one inside each container that has components."""
+    elements, rels = estate(spark, sf_dir)
+    inside = elements.filter(F.col("kind").isin("container", "component")).select("model_id", F.concat(F.lit("in "), "parent_id").alias("view_id"), "id")
+    top = elements.filter(F.col("kind").isin("system", "person")).select("model_id", F.lit("landscape").alias("view_id"), "id")
+    return elements, rels, top.unionByName(inside)
+
+
+@query(PRE + _SHOWN + """, pairs AS (SELECT view_id, src, tgt, bool_or(direct) AS direct, arg_min(id, (ord, id)) AS first, arg_min(type, (ord, id)) AS type FROM kept GROUP BY ALL)
+SELECT model_id, view_id, id, source_id, target_id, type, CAST(NULL AS VARCHAR) AS original_id FROM kept WHERE direct UNION ALL SELECT 'estate', view_id, 'derived-' || src || '-' || tgt, src, tgt, type, first FROM pairs WHERE NOT direct""")
+def every_view_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of the estate's views shows of its edges, thousands of views in one pass."""
+    elements, rels, visible = every_view(spark, sf_dir)
+    return all_views.view_relationships(all_views.lifted(rels, elements, visible), "type")
+
+
+@query(PRE + _SHOWN + """, ranked AS (SELECT view_id, ext, row_number() OVER (PARTITION BY view_id ORDER BY first, ext) - 1 AS n FROM (SELECT view_id, ext, min(kept.ord) AS first FROM kept JOIN uniq u ON u.id = ext WHERE NOT direct GROUP BY ALL)),
+placed AS (SELECT s.view_id, s.id AS element_id, (100 + length(s.id) * 10)::DOUBLE AS x, (length(s.view_id) * 10)::DOUBLE AS y FROM shown s)
+SELECT 'estate' AS model_id, view_id, element_id, x, y, CAST(NULL AS DOUBLE) AS w, CAST(NULL AS DOUBLE) AS h FROM placed UNION ALL
+SELECT 'estate', r.view_id, ext, coalesce((SELECT min(x) FROM placed p WHERE p.view_id = r.view_id) - 280, 50), CASE WHEN ext = 'n:3' THEN 77 ELSE 50 + 180.0 * n END, 200, 130 FROM ranked r""")
+def every_view_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of each of the estate's views, external elements placed beside them; one of those has a stored height."""
+    elements, rels, visible = every_view(spark, sf_dir)
+    external = all_views.external_elements(all_views.lifted(rels, elements, visible), elements)
+    null = F.lit(None).cast("double")
+    nodes = visible.select("model_id", "view_id", F.col("id").alias("element_id"), (100 + F.length("id") * 10).cast("double").alias("x"), (F.length("view_id") * 10).cast("double").alias("y"), null.alias("w"), null.alias("h")).distinct()
+    stored = external.filter("id = 'n:3'").select("model_id", "view_id", F.col("id").alias("element_id"), null.alias("x"), F.lit(77.0).alias("y"))
+    return all_views.view_nodes(nodes, visible, all_views.external_positions(nodes, external, stored, visible))
+
+
+_QUERIES = "SELECT c_custkey AS query_id, CASE WHEN c_custkey = 1 THEN '  ' WHEN c_custkey % 300 = 2 THEN 'N' || (c_custkey % 7)::VARCHAR WHEN c_custkey % 40 = 3 THEN 'ER ' || c_custkey::VARCHAR WHEN c_custkey % 40 = 4 THEN 'nothing ' || c_name ELSE upper(right(c_name, 6)) END AS q FROM customer"
+
+
+@query(PRE + OPTIONS + f", q AS ({_QUERIES}) SELECT query_id, o.id FROM q JOIN options o ON trim(q) = '' OR contains(lower(label), lower(q)) OR contains(lower(coalesce(sublabel, '')), lower(q))")
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query for each customer, one of them blank and some of two characters, against all options."""
+    options = views.element_options(estate(spark, sf_dir)[0])
+    text = "CASE WHEN c_custkey = 1 THEN '  ' WHEN c_custkey % 300 = 2 THEN concat('N', CAST(c_custkey % 7 AS STRING)) WHEN c_custkey % 40 = 3 THEN concat('ER ', CAST(c_custkey AS STRING)) WHEN c_custkey % 40 = 4 THEN concat('nothing ', c_name) ELSE upper(right(c_name, 6)) END"
+    queries = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS query_id", "'estate' AS model_id", f"{text} AS query")
+    return views.search_many(options, queries).select("query_id", "id")

@@ -1,13 +1,20 @@
 """Keeping model state current from a stream of edits: the newest edit of each key wins, writes are serial and whole.
 
-State is dealt into buckets by key. A batch reads the newest version of the buckets that it changes, merges its newest
-edits and writes those buckets again, as `<path>/v=<batch id>/bucket=<b>`; the others stay where they are. A batch that is
-replayed writes the same version again, so restarts change nothing. Of each bucket the last two versions are kept.
+State is a log of runs, tables of the newest edits of some batches. A batch adds one run of its own edits and reads
+nothing; when FANOUT runs of about one size have come together they are merged into one of the next size, so that an
+edit is written again a logarithmic number of times, and there are never more than a few runs a size. Which edit of a key
+is newest doesn't depend on the order in which runs are merged.
+
+`<path>/CURRENT` names the runs that count and the last batch in them. It is replaced by one rename, after the runs are
+written: a reader has the state before a batch or after it, and a batch that comes again after a restart is skipped if it
+counts already, else written anew under the same names. Runs that a merge replaced are deleted a batch later, so that
+readers of the manifest before it can finish. Only names in the manifest are ever read; nothing is listed.
 """
 
 from __future__ import annotations
 
-import re
+import json
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 SCHEMA = "model_id string, id string, op string, value string, ts timestamp, event_id long"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
-BUCKETS = 64
+FANOUT = 4
 
 
 def newest(edits: DataFrame) -> DataFrame:
@@ -34,71 +41,90 @@ def current(state: DataFrame) -> DataFrame:
     return state.filter("op <> 'delete'").drop("op")
 
 
-def start(edits: DataFrame, path: str, checkpoint: str, interval: str | None = "2 seconds", buckets: int = BUCKETS, check: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """edits: a stream with the columns of SCHEMA. With interval None all that is there is taken, and the query ends.
-    check(state of the keys that a batch has changed) -> violations, which are written to `<path>-violations/v=<batch id>`."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        last = newest(batch.select(*COLUMNS)).withColumn("bucket", F.pmod(F.xxhash64("model_id", "id"), F.lit(buckets)).cast("int")).persist()
-        try:
-            changed = [r["bucket"] for r in last.select("bucket").distinct().collect()]  # at most `buckets` numbers
-            if not changed:
-                return
-            before = read(spark, path, {b: v for b, v in versions(spark, path, batch_id).items() if b in set(changed)})
-            merged = merge(before, last.select(*COLUMNS))
-            dealt = merged.withColumn("bucket", F.pmod(F.xxhash64("model_id", "id"), F.lit(buckets)).cast("int"))
-            dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={batch_id}")
-            if check is not None:
-                now = read(spark, path, {b: batch_id for b in changed})
-                check(current(now.join(last.select("model_id", "id"), ["model_id", "id"], "left_semi"))).write.mode("overwrite").parquet(f"{path}-violations/v={batch_id}")
-            _forget(spark, path, changed, batch_id)
-        finally:
-            last.unpersist()
-
-    stream = edits.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return stream.trigger(availableNow=True).start() if interval is None else stream.trigger(processingTime=interval).start()
-
-
-def _folders(spark: SparkSession, path: str) -> list[tuple[int, int, str]]:
-    """(version, bucket, folder) of what has been written whole."""
+def manifest(spark: SparkSession, path: str) -> dict:
+    """What CURRENT says: batch (-1 if there is none), runs ({name: rows}), retired (names)."""
+    jvm = spark._jvm
+    file = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
+    files = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(file):
+        return {"batch": -1, "runs": {}, "retired": []}
+    stream = files.open(file)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, path: str, state: dict) -> None:
+    """Write the manifest beside CURRENT and rename it over that."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    new, place = hadoop.Path(f"{path}/_next"), hadoop.Path(f"{path}/CURRENT")
+    out = new.getFileSystem(conf).create(new, True)
+    try:
+        out.write(json.dumps(state).encode())
+    finally:
+        out.close()
+    how = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    how[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(new.getFileSystem(conf).getUri(), conf).rename(new, place, how)
+
+
+def _read(spark: SparkSession, path: str, runs: list[str]) -> DataFrame:
+    return spark.read.schema(SCHEMA).parquet(*[f"{path}/runs/{r}" for r in runs]) if runs else spark.createDataFrame([], SCHEMA)
+
+
+def _write(df: DataFrame, path: str, name: str) -> int:
+    """Write a run and count its rows."""
+    df.select(*COLUMNS).write.mode("overwrite").parquet(f"{path}/runs/{name}")
+    return _read(df.sparkSession, path, [name]).count()
+
+
+def _due(runs: dict[str, int]) -> list[str]:
+    """FANOUT runs of one size or more, the smallest such size first; empty if there are none."""
+    sizes: dict[int, list[str]] = {}
+    for name, rows in runs.items():
+        sizes.setdefault(int(math.log(max(rows, 1), FANOUT) + 1e-9), []).append(name)
+    return next((sizes[s] for s in sorted(sizes) if len(sizes[s]) >= FANOUT), [])
+
+
+def apply_batch(edits: DataFrame, batch_id: int, path: str, check: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Add a batch's edits to the state at path, unless it counts already."""
+    spark = edits.sparkSession
+    state = manifest(spark, path)
+    if state["batch"] >= batch_id:
+        return
+    runs, retired, name = dict(state["runs"]), [], f"{batch_id}"
+    rows = _write(newest(edits.select(*COLUMNS)), path, name)
+    if rows:
+        runs[name] = rows
+    else:
+        retired.append(name)
+    if check is not None and rows:
+        keys = _read(spark, path, [name]).select("model_id", "id")
+        now = newest(_read(spark, path, list(runs)).join(keys, ["model_id", "id"], "left_semi"))
+        check(current(now)).write.mode("overwrite").parquet(f"{path}-violations/v={batch_id}")
+    merges = 0
+    while due := _due(runs):
+        merges += 1
+        name = f"{batch_id}-{merges}"
+        merged = _write(newest(_read(spark, path, due)), path, name)
+        runs = {r: n for r, n in runs.items() if r not in due} | {name: merged}
+        retired += due
+    _publish(spark, path, {"batch": batch_id, "runs": runs, "retired": retired})
     hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    whole = {x.getPath().getParent().getName() for x in fs.globStatus(hadoop.Path(f"{path}/v=*/_SUCCESS")) or []}
-    found = []
-    for x in fs.globStatus(hadoop.Path(f"{path}/v=*/bucket=*")) or []:
-        m = re.search(r"(v=(\d+))/bucket=(\d+)$", x.getPath().toString())
-        if m and m[1] in whole:
-            found.append((int(m[2]), int(m[3]), x.getPath().toString()))
-    return found
-
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in state["retired"]:
+        files.delete(hadoop.Path(f"{path}/runs/{old}"), True)
 
-def versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
-    """The newest version of each bucket, of those before a batch."""
-    out: dict[int, int] = {}
-    for v, b, _ in _folders(spark, path):
-        if before is None or v < before:
-            out[b] = max(v, out.get(b, -1))
-    return out
 
-
-def read(spark: SparkSession, path: str, wanted: dict[int, int]) -> DataFrame:
-    """Given versions of buckets; empty where there are none."""
-    folders = [f"{path}/v={v}/bucket={b}" for b, v in wanted.items()]
-    return spark.read.schema(SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], SCHEMA)
+def start(edits: DataFrame, path: str, checkpoint: str, interval: str | None = "2 seconds", check: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """edits: a stream with the columns of SCHEMA. With interval None all that is there is taken, and the query ends.
+    check(state of the keys that a batch has changed) -> violations, which are written to `<path>-violations/v=<batch id>`."""
+    stream = edits.writeStream.foreachBatch(lambda batch, batch_id: apply_batch(batch, batch_id, path, check)).option("checkpointLocation", checkpoint)
+    return stream.trigger(availableNow=True).start() if interval is None else stream.trigger(processingTime=interval).start()
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
-    """State by the newest version of each bucket that has been written whole."""
-    return read(spark, path, versions(spark, path))
-
-
-def _forget(spark: SparkSession, path: str, buckets: list[int], batch_id: int) -> None:
-    """Of changed buckets, versions before the one that this batch has replaced; a replay needs none of them."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    replaced = versions(spark, path, batch_id)
-    for v, b, folder in _folders(spark, path):
-        if b in set(buckets) and v < replaced.get(b, -1):
-            fs.delete(hadoop.Path(folder), True)
+    """The newest edit of each key, as of the last whole batch."""
+    return newest(_read(spark, path, list(manifest(spark, path)["runs"])))

@@ -225,21 +225,3 @@ def test_documents_come_back_whole(spark):
     found = {(r.path, r.code) for r in models.schema_audit(docs).filter("model_id <> 'ok'").collect()}
     assert found == {("", "TYPE"), ("relationships", "TYPE"), ("metadata.title", "REQUIRED"), ("metadata.titel", "UNKNOWN_KEY"), ("elements[1]", "TYPE"), ("elements[0].id", "MIN_LENGTH"), ("elements[0].kind", "ENUM"), ("elements[0].name", "TYPE"), ("elements[0].tags", "TYPE"), ("elements[0].formatting.fontColor", "PATTERN")}
     assert models.schema_audit(docs.filter("model_id = 'ok'")).count() == 0
-
-
-def test_upkeep_writes_changed_buckets(spark, tmp_path):
-    import datetime
-
-    t0 = datetime.datetime(2024, 1, 1)
-    for i in range(6):
-        rows = [("m", f"k{j}", "put", f"v{i}", t0 + datetime.timedelta(seconds=i), 10 * i + j) for j in (range(8) if i == 0 else [1])]
-        spark.createDataFrame(rows, upkeep.SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
-    stream = spark.readStream.schema(upkeep.SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    path = str(tmp_path / "state")
-    check = lambda df: df.filter("value = 'v3'").select("model_id", "id")
-    upkeep.start(stream, path, str(tmp_path / "progress"), interval=None, buckets=4, check=check).awaitTermination()
-    assert {r.id: r.value for r in upkeep.current(upkeep.latest(spark, path)).collect()} == {f"k{j}": "v5" if j == 1 else "v0" for j in range(8)}
-    newest = upkeep.versions(spark, path)
-    assert sorted(set(newest.values())) == [0, 5]  # buckets without an edit stay as the first batch wrote them
-    assert len([x for x in upkeep._folders(spark, path) if x[1] == next(b for b, v in newest.items() if v == 5)]) == 2
-    assert [(r.model_id, r.id) for r in spark.read.parquet(f"{path}-violations").select("model_id", "id").collect()] == [("m", "k1")]
