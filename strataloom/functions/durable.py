@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,3 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not known.isDefined():
         context.setCheckpointDir(path)
     return path.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Cut the lineage: df as a table in the shared folder, read back. Unlike a checkpoint its size is known to the planner,
+    so that joins with it broadcast it where it is small."""
+    path = f"{shared_dir(df.sparkSession)}/strataloom-tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "lz4").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

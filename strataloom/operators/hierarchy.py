@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.durable import shared_dir
+from ..functions.durable import kept
 
 KEY = ["model_id", "id"]
 #: A table of ids up to this many rows is broadcast; its size is checked first.
@@ -37,19 +37,18 @@ def chains(elements: DataFrame, *columns: str, marked: DataFrame | None = None,
     parent that doesn't exist, which ends the way), the columns named, and is_marked (whether the id is among
     marked(model_id, id)). On a cycle everything stands once, and loop is the id at which the way meets itself: the
     element's own if it is on the cycle, another's if it is below one."""
-    shared_dir(elements.sparkSession)
     up = last_by_id(elements, "parent_id", *columns, *own).withColumn("found", F.lit(True))
     if marked is not None:
-        ids = marked.select(*KEY).distinct().withColumn("is_marked", F.lit(True)).checkpoint()
+        ids = kept(marked.select(*KEY).distinct().withColumn("is_marked", F.lit(True)))
         few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     with_marks = lambda df: df.join(few, KEY, "left").withColumn("is_marked", F.col("is_marked").isNotNull()) if marked is not None else df.withColumn("is_marked", F.lit(False))
-    up = with_marks(up).checkpoint()
+    up = kept(with_marks(up))
     node = F.struct("id", "found", "is_marked", *columns)
     # Ways of parents, those that don't exist among them.
     inner = up.filter("parent_id IS NOT NULL").select("model_id", F.col("parent_id").alias("id")).distinct()
     known = inner.join(up, KEY)
     lost = with_marks(inner.join(up, KEY, "left_anti").withColumns({"parent_id": F.lit(None).cast("string"), "found": F.lit(False)} | {c: F.lit(None).cast(up.schema[c].dataType) for c in (*columns, *own)}))
-    way = known.select(*up.columns).unionByName(lost.select(*up.columns)).select(*KEY, F.array(node).alias("path"), F.col("parent_id").alias("next"), F.lit(None).cast("string").alias("loop")).checkpoint()
+    way = kept(known.select(*up.columns).unionByName(lost.select(*up.columns)).select(*KEY, F.array(node).alias("path"), F.col("parent_id").alias("next"), F.lit(None).cast("string").alias("loop")))
     for _ in range(rounds):
         if not way.filter("next IS NOT NULL").limit(1).count():
             break
@@ -59,7 +58,7 @@ def chains(elements: DataFrame, *columns: str, marked: DataFrame | None = None,
         both = both.withColumn("seen", F.transform("path", lambda x: x["id"])).withColumn("again", again)
         met = F.col("tail").isNotNull() & (F.size("again") > 0)
         path = F.when(F.col("tail").isNull(), F.col("path")).otherwise(F.concat("path", F.filter("tail", lambda x: ~F.array_contains(F.col("seen"), x["id"]))))
-        way = both.select(*KEY, path.alias("path"), F.when(~met, F.col("after")).alias("next"), F.when(met, F.col("again")[0]["id"]).otherwise(F.coalesce("loop", "tail_loop")).alias("loop")).checkpoint()
+        way = kept(both.select(*KEY, path.alias("path"), F.when(~met, F.col("after")).alias("next"), F.when(met, F.col("again")[0]["id"]).otherwise(F.coalesce("loop", "tail_loop")).alias("loop")))
     else:
         raise RuntimeError(f"ways to the top don't end in {rounds} rounds")
     above = way.select("model_id", F.col("id").alias("parent_id"), F.col("path").alias("above"), F.col("loop").alias("above_loop"))
@@ -81,7 +80,7 @@ def _jumped(ways: DataFrame, values: dict[str, Callable[[Column, Column], Column
     while (left := ways.filter("next IS NOT NULL").count()) and not (left == before and seen >= left):
         onward = ways.select("model_id", F.col("id").alias("next"), F.col("next").alias("after"), *[F.col(v).alias(f"{v}_after") for v in values])
         both = ways.join(onward, ["model_id", "next"], "left")
-        ways = both.select(*KEY, F.col("after").alias("next"), *[join(F.col(v), F.col(f"{v}_after")).alias(v) for v, join in values.items()]).checkpoint()
+        ways = kept(both.select(*KEY, F.col("after").alias("next"), *[join(F.col(v), F.col(f"{v}_after")).alias(v) for v, join in values.items()]))
         seen, before = 2 * seen, left
     return ways
 
@@ -93,12 +92,11 @@ def nearest(elements: DataFrame, stops: dict[str, DataFrame | Column], *columns:
     table with one row for an id) that is null where it isn't one. Parents that don't exist can be stops. With a function
     in merge, of the nearer value and the farther, a stop's values are joined by it instead of the nearest being taken.
 
-    Nothing is kept of a way but its nearest stops. elements is read three times."""
-    shared_dir(elements.sparkSession)
+    Nothing is kept of a way but its nearest stops."""
     tables = {name: s for name, s in stops.items() if isinstance(s, DataFrame)} | ({"is_marked": marked} if marked is not None else {})
     flags = {}
     for name, ids in tables.items():
-        known = ids.select(*KEY).distinct().checkpoint()
+        known = kept(ids.select(*KEY).distinct())
         flags[f"at_{name}"] = F.broadcast(known) if known.count() <= BROADCAST_IDS else known
     names = {name: (merge or {}).get(name, F.coalesce) for name in stops}
 
@@ -110,70 +108,16 @@ def nearest(elements: DataFrame, stops: dict[str, DataFrame | Column], *columns:
             nodes = nodes.join(beside, KEY, "left")
         return nodes.select(*KEY, "parent_id", *[(F.when(F.col(f"at_{n}"), F.col("id")) if isinstance(s, DataFrame) else s).alias(n) for n, s in stops.items()])
 
-    inner = elements.select("model_id", F.nullif("parent_id", F.lit("")).alias("id")).filter("id IS NOT NULL").distinct().checkpoint()
-    known = last_by_id(elements.join(inner, KEY, "left_semi").select(*elements.columns), "parent_id", *columns).withColumn("found", F.lit(True)).checkpoint()
-    lost = inner.join(known, KEY, "left_anti").withColumns({"parent_id": F.lit(None).cast("string"), "found": F.lit(False)} | {c: F.lit(None).cast(known.schema[c].dataType) for c in columns})
-    ways = _jumped(valued(known.unionByName(lost.select(*known.columns))).withColumnRenamed("parent_id", "next").checkpoint(), names)
+    every = kept(last_by_id(elements, "parent_id", *columns).withColumn("found", F.lit(True)))
+    inner = kept(every.filter("parent_id IS NOT NULL").select("model_id", F.col("parent_id").alias("id")).distinct())
+    lost = inner.join(every, KEY, "left_anti").withColumns({"parent_id": F.lit(None).cast("string"), "found": F.lit(False)} | {c: F.lit(None).cast(every.schema[c].dataType) for c in columns})
+    start = valued(every.join(inner, KEY, "left_semi").unionByName(lost.select(*every.columns)))
+    ways = _jumped(kept(start.withColumnRenamed("parent_id", "next")), names)
     above = ways.select("model_id", F.col("id").alias("parent_id"), *[F.col(n).alias(f"{n}_above") for n in names])
-    rows = valued(last_by_id(elements, "parent_id", *columns).withColumn("found", F.lit(True))).join(above, ["model_id", "parent_id"], "left")
+    rows = valued(every).join(above, ["model_id", "parent_id"], "left")
     return rows.select(*KEY, *[(join(F.col(n), F.col(f"{n}_above")) if itself else F.col(f"{n}_above")).alias(n) for n, join in names.items()])
 
 
-def _jumped(ways: DataFrame, values: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
-    """ways(model_id, id, next, values) of the elements that are somebody's parent, each value joined by its function with
-    that of what lies further up, for all of the way. next is where the way goes on from there: null at its end, else
-    on a cycle. Each round doubles what a row has seen, so that a way of d steps takes log2(d) rounds; rows stay narrow.
-
-    Ways that end have ended when a round leaves as many open as before, since of a longer one some part would have ended
-    in it; the open ones then all lead into cycles, and have gone all round when they have seen as many elements as are
-    open."""
-    seen, before = 1, -1
-    while (left := ways.filter("next IS NOT NULL").count()) and not (left == before and seen >= left):
-        onward = ways.select("model_id", F.col("id").alias("next"), F.col("next").alias("after"), *[F.col(v).alias(f"{v}_after") for v in values])
-        both = ways.join(onward, ["model_id", "next"], "left")
-        ways = both.select(*KEY, F.col("after").alias("next"), *[join(F.col(v), F.col(f"{v}_after")).alias(v) for v, join in values.items()]).checkpoint()
-        seen, before = 2 * seen, left
-    return ways
-
-
-def nearest(elements: DataFrame, stops: dict[str, DataFrame | Column], *columns: str, marked: DataFrame | None = None, beside: DataFrame | None = None, merge: dict[str, Callable[[Column, Column], Column]] | None = None, itself: bool = True) -> DataFrame:
-    """(model_id, id, and for each of stops the value of the nearest ancestor that is one, itself included unless told
-    otherwise; null where there is none). A stop is a table of ids, whose value is the id, or an expression over an
-    element's id, found, parent_id, the columns named, is_marked (whether its id is in marked) and the columns of beside (a
-    table with one row for an id) that is null where it isn't one. Parents that don't exist can be stops. With a function
-    in merge, of the nearer value and the farther, a stop's values are joined by it instead of the nearest being taken.
-
-    Nothing is kept of a way but its nearest stops. elements is read three times."""
-    shared_dir(elements.sparkSession)
-    tables = {name: s for name, s in stops.items() if isinstance(s, DataFrame)} | ({"is_marked": marked} if marked is not None else {})
-    flags = {}
-    for name, ids in tables.items():
-        known = ids.select(*KEY).distinct().checkpoint()
-        flags[f"at_{name}"] = F.broadcast(known) if known.count() <= BROADCAST_IDS else known
-    names = {name: (merge or {}).get(name, F.coalesce) for name in stops}
-
-    def valued(nodes: DataFrame) -> DataFrame:
-        for flag, ids in flags.items():
-            nodes = nodes.join(ids.withColumn(flag, F.lit(True)), KEY, "left").withColumn(flag, F.col(flag).isNotNull())
-        nodes = nodes.withColumn("is_marked", F.col("at_is_marked") if marked is not None else F.lit(False))
-        if beside is not None:
-            nodes = nodes.join(beside, KEY, "left")
-        return nodes.select(*KEY, "parent_id", *[(F.when(F.col(f"at_{n}"), F.col("id")) if isinstance(s, DataFrame) else s).alias(n) for n, s in stops.items()])
-
-    inner = elements.select("model_id", F.nullif("parent_id", F.lit("")).alias("id")).filter("id IS NOT NULL").distinct().checkpoint()
-    known = last_by_id(elements.join(inner, KEY, "left_semi").select(*elements.columns), "parent_id", *columns).withColumn("found", F.lit(True)).checkpoint()
-    lost = inner.join(known, KEY, "left_anti").withColumns({"parent_id": F.lit(None).cast("string"), "found": F.lit(False)} | {c: F.lit(None).cast(known.schema[c].dataType) for c in columns})
-    ways = _jumped(valued(known.unionByName(lost.select(*known.columns))).withColumnRenamed("parent_id", "next").checkpoint(), names)
-    above = ways.select("model_id", F.col("id").alias("parent_id"), *[F.col(n).alias(f"{n}_above") for n in names])
-    rows = valued(last_by_id(elements, "parent_id", *columns).withColumn("found", F.lit(True))).join(above, ["model_id", "parent_id"], "left")
-    return rows.select(*KEY, *[(join(F.col(n), F.col(f"{n}_above")) if itself else F.col(f"{n}_above")).alias(n) for n, join in names.items()])
-
-
-def first_of(path: Column | str, test) -> Column:
-    """The first node of a way that passes a test, or null."""
-    return F.get(F.filter(path, test), F.lit(0))
-
-
 def ancestor_closure(elements: DataFrame) -> DataFrame:
     """(model_id, id, anc, depth): each element with itself at depth 0 and all its ancestors, at any depth. A parent that
     doesn't exist is an ancestor, and ends the way. On a cycle each pair stands once, at its least depth."""
@@ -183,10 +127,9 @@ def ancestor_closure(elements: DataFrame) -> DataFrame:
 def cycles(elements: DataFrame) -> DataFrame:
     """(model_id, id, on_cycle): elements on a parent cycle, or below one. Where open ways have come to after at least as
     many steps as there are of them is on a cycle, and every element of a cycle is come to from another."""
-    shared_dir(elements.sparkSession)
-    up = parents(elements).checkpoint()
+    up = kept(parents(elements))
     inner = up.select("model_id", F.col("parent_id").alias("id")).filter("id IS NOT NULL").distinct()
-    ways = _jumped(up.join(inner, KEY, "left_semi").withColumnRenamed("parent_id", "next").checkpoint(), {})
+    ways = _jumped(kept(up.join(inner, KEY, "left_semi").withColumnRenamed("parent_id", "next")), {})
     open_ways = ways.filter("next IS NOT NULL")
     on = open_ways.select("model_id", F.col("next").alias("id")).distinct().withColumn("on_cycle", F.lit(True))
     below = up.join(open_ways.select("model_id", F.col("id").alias("parent_id")), ["model_id", "parent_id"], "left_semi").select(*KEY)
@@ -245,7 +188,7 @@ def descendants(elements: DataFrame, ids: DataFrame) -> DataFrame:
     """(model_id, root_id, id): all strict descendants of ids(model_id, id). Bounded on cycles, too. Each element takes the
     nearest root above it, and that root's roots from the roots' own hierarchy, so that the work is that of the result."""
     roots = ids.select(*KEY).distinct()
-    direct = nearest(elements, {"up": roots}, itself=False).filter("up IS NOT NULL").checkpoint()
+    direct = kept(nearest(elements, {"up": roots}, itself=False).filter("up IS NOT NULL"))
     of_roots = roots.join(direct, KEY, "left").select(*KEY, F.col("up").alias("parent_id"), F.lit(0).alias("ord"))
     above = ancestor_closure(of_roots).select("model_id", F.col("id").alias("up"), F.col("anc").alias("root_id"))
     return direct.join(above, ["model_id", "up"]).filter("root_id <> id").select("model_id", "root_id", "id")
