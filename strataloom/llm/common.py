@@ -82,14 +82,16 @@ class Kept(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-            if len(key) > self.longest:
-                return value
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        self.put(key, value)
         return value
 
+    def put(self, key, value) -> None:
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+
 
 @contextlib.contextmanager
 def no_collector() -> Iterator[None]:
@@ -126,7 +128,8 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Which bytes are ASCII white space.
+WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _VALUES = mix(np.arange(256, dtype=np.uint64), 11)
 _BASE = 0x9E3779B97F4A7C15
 _BLOCK = 1 << 18
@@ -165,7 +168,7 @@ def hash_words(data: bytes) -> np.ndarray:
         return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
     raw = np.frombuffer(data, np.uint8)
     edges = np.ones(len(raw) + 2, dtype=np.int8)
-    edges[1:-1] = _WHITE[raw]
+    edges[1:-1] = WHITE[raw]
     edges = np.diff(edges)
     starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
     power, inverse = _powers()
