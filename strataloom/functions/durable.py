@@ -26,6 +26,6 @@ def shared_dir(spark: SparkSession) -> str:
 def kept(df: DataFrame) -> DataFrame:
     """Cut the lineage: df as a table in the shared folder, read back. Unlike a checkpoint its size is known to the planner,
     so that joins with it broadcast it where it is small."""
-    path = f"{shared_dir(df.sparkSession)}/strataloom-tables/{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/strataloom/table-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
