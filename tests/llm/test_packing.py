@@ -49,3 +49,24 @@ def test_empty_table_limits_and_buckets(spark, tmp_path):
         packing.pack(documents(spark, []), PATH, max_length=100)
     packing.write_buckets(packing.pack(documents(spark, [(1, "a b c")]), PATH), str(tmp_path / "b"))
     assert {p.name for p in (tmp_path / "b").glob("bucket=*")} == {"bucket=2"}
+
+
+def test_words_of_many_texts_at_once(spark):
+    """Distinct words, gathered back, give what the library gives for each text: letters, marks and space of any kind."""
+    import random
+    from array import array
+
+    from strataloom.llm.packing import WordIds, distinct_words
+
+    rnd = random.Random(3)
+    parts = list("aAzZéÉñßÿØ÷×Å") + ["é", "ﬁ", "İ", "Σ", "σς", "🙂", "'s", "’", "10", "<|endoftext|>", ",", ".", "!", "-", " ", "\n", "\x0b", " ", "​", "中文", "\x1c", "\x85", "ſ", "sixteenletterss,", "seventeenletters!"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randrange(40))) for _ in range(3000)] + ["", " ", "x" * 100]
+    encode = WordIds(vocabulary("word_bpe_49k.json"), 500)
+    for i in range(0, len(texts), 700):
+        got = encode.of_texts([t.encode() for t in texts[i : i + 700]])
+        assert got == [array("I", encode.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts[i : i + 700]]
+    assert encode.of_texts([b"", b""]) == [b"", b""]
+    data = " ".join(texts).encode()
+    starts, ends, group, first = distinct_words(data)
+    words = [data[a:b] for a, b in zip(starts, ends)]
+    assert words == data.split() and [words[first[g]] for g in group] == words
