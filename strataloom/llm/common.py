@@ -105,15 +105,12 @@ def no_collector() -> Iterator[None]:
             gc.enable()
 
 
-def tidy(batches: Iterator[pa.RecordBatch], *kept: Kept) -> Iterator[pa.RecordBatch]:
-    """Pass a task's batches on; when the task ends, empty its caches and give the worker's free memory back, as the
-    worker lives on beside whatever runs next."""
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass a task's batches on; when the task ends, give the worker's free memory back, as the worker lives on beside
+    whatever runs next. Caches of bounded size (words, a model) stay for the worker's next task."""
     try:
         yield from batches
     finally:
-        for cache in kept:
-            cache.clear()
-            cache.old = {}
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
             ctypes.CDLL(None).malloc_trim(0)

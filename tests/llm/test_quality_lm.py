@@ -1,5 +1,6 @@
 import math
 import random
+import statistics
 
 from pyspark.sql import functions as F
 
@@ -76,3 +77,45 @@ def test_classifier_separates_prose_from_junk(spark):
     assert not out[2000].kept and out[2001].perplexity is None and out[2002].kept
     assert q.classify(documents(spark, []), documents(spark, []).select("doc_id")).collect() == []
     assert all(not r.kept or r.threshold is None or r.perplexity is not None for r in q.classify(docs, documents(spark, []).select("doc_id")).collect())
+
+
+def test_limits_and_verdicts_against_plain_code(spark):
+    """A language with enough trusted documents, one with few, one with none, null lang, ties, short texts, repeated rows."""
+    rnd = random.Random(4)
+    made = lambda i: prose(rnd, rnd.randrange(1, 40)) + " zq" * rnd.choice([0, 0, 0, 1, 6])
+    texts = [(i, made(i), "en" if i < 40 else "de" if i < 46 else None if i < 50 else "xx") for i in range(60)]
+    texts += [(60, texts[0][1], "en"), (61, texts[0][1], "en"), (62, None, "en"), (63, "", None), (64, "th", "de"), (5, texts[5][1], "en"), (None, "an zq zq", "de")]
+    docs = documents(spark, texts)
+    trusted = spark.createDataFrame([(i,) for i in [*range(48), 60, 62, 62, 900, None]], "doc_id long")
+    order, prior, quantile, least = 3, 20.0, 0.8, 10
+    out = q.classify(docs, trusted, order=order, prior=prior, quantile=quantile, least=least).collect()
+    ids = {*range(48), 60, 62}
+    fold = {r.i: r.f for r in spark.range(1).select(F.explode(F.array(*[F.lit(i).cast("long") for i in range(65)], F.lit(None).cast("long"))).alias("i")).select("i", F.pmod(F.xxhash64("i"), F.lit(2)).alias("f")).collect()}
+    tables = []
+    for k in range(2):
+        features, unknown = q.fit(spark.createDataFrame([(t,) for i, t, _ in texts if i in ids and fold[i] != k], "text string"), order)
+        tables.append(({r.g: (r.gain, r.backoff) for r in features.collect()}, unknown))
+    scored = []
+    for i, text, lang in texts:
+        s = f"\x02 {' '.join((text or '').split())} " if text else ""
+        table, unknown = tables[fold[i]]
+        scored.append((i, lang or "", max(0, len(s) - 2), sum(log_p(table, unknown, order, s[j - 2 : j], s[j]) for j in range(2, len(s)))))
+    judges = [(lang, n, p) for i, lang, n, p in scored if i in ids and n]
+    mean = lambda rows: -sum(p for _, _, p in rows) / sum(n for _, n, _ in rows)
+    means = {x: mean([j for j in judges if j[0] == x]) for x in {j[0] for j in judges}}
+    drawn = lambda lang, n, p: (-p + prior * means.get(lang, mean(judges))) / (n + prior)
+    at = lambda values: sorted(values)[math.ceil(quantile * len(values)) - 1]
+    over = [drawn(*j) - means[j[0]] for j in judges]
+    above = max(at(over), statistics.stdev(over) * statistics.NormalDist().inv_cdf(quantile))
+    limits = {}
+    for x, m in means.items():
+        own = [drawn(*j) for j in judges if j[0] == x]
+        limits[x] = at(own) if len(own) >= least else max(at(own), m + above)
+    assert sum(j[0] == "en" for j in judges) >= least > sum(j[0] == "de" for j in judges)
+    limits["xx"] = at([drawn(*j) for j in judges])
+    want = sorted((i if i is not None else -1, lang, n, n > 0 and drawn(lang, n, p) <= limits[lang] + 1e-9) for i, lang, n, p in scored)
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.lang, r.n_chars, r.kept) for r in out) == want
+    assert {k for *_, k in want} == {True, False} and not all(k for _, x, n, k in want if x == "en" and n)
+    assert all(abs(math.log(r.threshold) - limits[r.lang]) < 1e-6 for r in out)
+    near = {(i, n): p for i, _, n, p in scored}
+    assert all(abs(r.n_chars * math.log(r.perplexity) + near[r.doc_id, r.n_chars]) < 1e-4 for r in out if r.n_chars)
