@@ -10,8 +10,9 @@ that one join, which adaptive execution splits.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durable import kept
@@ -68,10 +69,11 @@ def chains(elements: DataFrame, *columns: str, marked: DataFrame | None = None,
     return rows.select(*KEY, path.alias("path"), F.when(itself, F.col("id")).otherwise(F.col("above_loop")).alias("loop"), *own)
 
 
-def _jumped(ways: DataFrame, values: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+def _jumped(ways: DataFrame, values: dict[str, Callable[[Column, Column], Column]], summed: tuple[str, ...] = ()) -> DataFrame:
     """ways(model_id, id, next, values) of the elements that are somebody's parent, each value joined by its function with
     that of what lies further up, for all of the way. next is where the way goes on from there: null at its end, else
     on a cycle. Each round doubles what a row has seen, so that a way of d steps takes log2(d) rounds; rows stay narrow.
+    Columns in summed go the other way: each ends as the sum over a row and all rows below it (of rows that reach no cycle).
 
     Ways that end have ended when a round leaves as many open as before, since of a longer one some part would have ended
     in it; the open ones then all lead into cycles, and have gone all round when they have seen as many elements as are
@@ -80,7 +82,11 @@ def _jumped(ways: DataFrame, values: dict[str, Callable[[Column, Column], Column
     while (left := ways.filter("next IS NOT NULL").count()) and not (left == before and seen >= left):
         onward = ways.select("model_id", F.col("id").alias("next"), F.col("next").alias("after"), *[F.col(v).alias(f"{v}_after") for v in values])
         both = ways.join(onward, ["model_id", "next"], "left")
-        ways = kept(both.select(*KEY, F.col("after").alias("next"), *[join(F.col(v), F.col(f"{v}_after")).alias(v) for v, join in values.items()]))
+        if summed:
+            below = ways.filter("next IS NOT NULL").groupBy("model_id", F.col("next").alias("id")).agg(*[F.sum(v).alias(f"{v}_below") for v in summed])
+            both = both.join(below, KEY, "left")
+        sums = [(F.col(v) + F.coalesce(f"{v}_below", F.lit(0))).alias(v) for v in summed]
+        ways = kept(both.select(*KEY, F.col("after").alias("next"), *[join(F.col(v), F.col(f"{v}_after")).alias(v) for v, join in values.items()], *sums))
         seen, before = 2 * seen, left
     return ways
 
@@ -197,3 +203,58 @@ def descendants(elements: DataFrame, ids: DataFrame) -> DataFrame:
 def below(elements: DataFrame, ids: DataFrame) -> DataFrame:
     """(model_id, id) of elements that have one of ids above them."""
     return nearest(elements, {"up": ids}, itself=False).filter("up IS NOT NULL").select(*KEY)
+
+
+def _sum_before(rows: DataFrame, family: tuple[str, ...], order: tuple[str, ...], value: str, name: str) -> DataFrame:
+    """rows with the sum of value over the rows of their family that come before them. Rows are sorted by range, summed per
+    range, and summed again within it from the ranges' offsets: no family ever meets in one task, however large."""
+    ranged = kept(rows.repartitionByRange(*family, *order).withColumn("range", F.spark_partition_id()))
+    ranges = Window.partitionBy(*family).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*family, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*family, "range").agg(F.sum(value).alias("s"))
+    offsets = sums.withColumn("offset", F.coalesce(F.sum("s").over(ranges), F.lit(0))).drop("s")
+    inside = ranged.withColumn("inside", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*family, "range")]
+    return inside.alias("a").join(offsets.alias("b"), reduce(lambda x, y: x & y, same)).select("a.*", "offset").withColumn(name, F.col("inside") + F.col("offset")).drop("range", "inside", "offset")
+
+
+def intervals(elements: DataFrame) -> DataFrame:
+    """(model_id, id, depth, entry, exit): entry numbers a model's elements from 0 depth first, children in the order of the
+    document, and exit is the number of the last one below, so that y is x or below it exactly when
+    x.entry <= y.entry <= x.exit, and exit - entry elements are below x. A missing parent is none; what is on a cycle or
+    below one has no number and no row.
+
+    Sizes go up and places come down by doubling over elements that are somebody's parent, log2(depth) rounds each; an
+    element's place is the sum of its own and its ancestors' places among their siblings."""
+    every = kept(last_by_id(elements, "parent_id", "ord"))
+    inner = every.filter("parent_id IS NOT NULL").select("model_id", F.col("parent_id").alias("id")).distinct()
+    inner = kept(inner.join(every, KEY, "left_semi").withColumn("opens", F.lit(True)))
+    up = inner.select("model_id", F.col("id").alias("parent_id"), F.lit(True).alias("has"))
+    rows = every.join(up, ["model_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("has"), F.col("parent_id"))).drop("has").join(inner, KEY, "left")
+    rows = kept(rows)
+    leaves = rows.filter("opens IS NULL AND parent_id IS NOT NULL").groupBy("model_id", F.col("parent_id").alias("id")).agg(F.count("*").alias("leaves"))
+    start = rows.filter("opens").join(leaves, KEY, "left").select(*KEY, F.col("parent_id").alias("next"), (F.coalesce("leaves", F.lit(0)) + 1).alias("size"))
+    sizes = _jumped(kept(start), {}, ("size",))
+    looped = sizes.filter("next IS NOT NULL")
+    sized = rows.join(sizes.select(*KEY, "size"), KEY, "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    sized = sized.join(looped.select(*KEY), KEY, "left_anti").join(looped.select("model_id", F.col("id").alias("parent_id")), ["model_id", "parent_id"], "left_anti")
+    placed = _sum_before(sized, ("model_id", "parent_id"), ("ord", "id"), "size", "before")
+    step = F.col("parent_id").isNotNull().cast("int")
+    placed = kept(placed.select(*KEY, "parent_id", "opens", "size", (F.col("before") + step).alias("entry"), step.alias("depth")))
+    add = lambda near, far: near + F.coalesce(far, F.lit(0))
+    ways = _jumped(kept(placed.filter("opens").select(*KEY, F.col("parent_id").alias("next"), "entry", "depth")), {"entry": add, "depth": add})
+    above = ways.select("model_id", F.col("id").alias("parent_id"), F.col("entry").alias("entry_above"), F.col("depth").alias("depth_above"))
+    out = placed.join(above, ["model_id", "parent_id"], "left").withColumns({"entry": add(F.col("entry"), F.col("entry_above")), "depth": add(F.col("depth"), F.col("depth_above"))})
+    return out.select(*KEY, "depth", "entry", (F.col("entry") + F.col("size") - 1).alias("exit"))
+
+
+def nesting(pairs: DataFrame, numbered: DataFrame) -> DataFrame:
+    """pairs with model_id, source_id and target_id, and the rows of `intervals` -> pairs with nesting: `same`, `source` where
+    the source has the target below it, `target` the other way round, `apart`, or null where an end has no number. An
+    answer costs the two look-ups at any depth."""
+    end = lambda s: numbered.select("model_id", F.col("id").alias(f"{s}_id"), F.struct("entry", "exit").alias(f"{s}_at"))
+    both = pairs.join(end("source"), ["model_id", "source_id"], "left").join(end("target"), ["model_id", "target_id"], "left")
+    holds = lambda x, y: F.col(f"{y}_at.entry").between(F.col(f"{x}_at.entry"), F.col(f"{x}_at.exit"))
+    known = F.col("source_at").isNotNull() & F.col("target_at").isNotNull()
+    found = F.when(F.col("source_at.entry") == F.col("target_at.entry"), "same").when(holds("source", "target"), "source").when(holds("target", "source"), "target").otherwise("apart")
+    return both.select(*pairs.columns, F.when(known, found).alias("nesting"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalog, edits, text
+from ..operators import catalog, edits, hierarchy, text
 from ..operators.edits import tagged
 from . import adapters as a
 from .queries import PRE, estate, query
@@ -220,12 +220,29 @@ def preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.preorder(estate(spark, sf_dir)[0]).select("id", "depth", F.array_join("path", "/").alias("path"))
 
 
+@query(PRE + """, steps AS (SELECT c.id, max(depth) AS depth, array_agg(u.ord ORDER BY depth DESC) AS path FROM closure c JOIN uniq u ON u.id = c.anc GROUP BY 1), sizes AS (SELECT anc AS id, count(*) AS n FROM closure GROUP BY 1),
+numbered AS (SELECT id, depth, row_number() OVER (ORDER BY path) - 1 AS entry FROM steps) SELECT id, depth, entry, entry + n - 1 AS exit FROM numbered JOIN sizes USING (id)""")
+def preorder_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.intervals(estate(spark, sf_dir)[0]).drop("model_id")
+
+
+@query(PRE + """, steps AS (SELECT DISTINCT id, anc FROM closure WHERE depth > 0), pairs AS (SELECT source_id, target_id FROM relationships UNION ALL SELECT id, parent_id FROM elements UNION ALL SELECT parent_id, id FROM elements),
+found AS (SELECT CASE WHEN s.id IS NULL OR t.id IS NULL THEN NULL WHEN source_id = target_id THEN 'same' WHEN b.id IS NOT NULL THEN 'source' WHEN a.id IS NOT NULL THEN 'target' ELSE 'apart' END AS nesting
+  FROM pairs p LEFT JOIN uniq s ON s.id = p.source_id LEFT JOIN uniq t ON t.id = p.target_id LEFT JOIN steps a ON a.id = p.source_id AND a.anc = p.target_id LEFT JOIN steps b ON b.id = p.target_id AND b.anc = p.source_id)
+SELECT nesting, count(*) AS n FROM found GROUP BY 1""")
+def nested_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the ends of all relationships, and all elements and their parents, stand to each other."""
+    elements, rels = estate(spark, sf_dir)
+    ends = rels.select("model_id", "source_id", "target_id")
+    for a, b in (("id", "parent_id"), ("parent_id", "id")):
+        ends = ends.unionByName(elements.select("model_id", F.col(a).alias("source_id"), F.col(b).alias("target_id")))
+    return hierarchy.nesting(ends, hierarchy.intervals(elements)).groupBy("nesting").agg(F.count("*").alias("n"))
+
+
 @query(PRE + """, b AS (SELECT id, CASE WHEN kind = 'person' THEN name || '!' ELSE name END AS name, kind, parent_id FROM uniq WHERE kind <> 'system' UNION ALL SELECT 'p:' || p_partkey::VARCHAR, p_name, 'system', NULL FROM part)
 SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'only_left' WHEN a.id IS NULL THEN 'only_right' WHEN a.name = b.name THEN 'equal' ELSE 'changed' END AS status FROM (SELECT * FROM uniq) a FULL JOIN b ON a.id = b.id""")
 def model_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.hierarchy import last_by_id
-
-    left = last_by_id(estate(spark, sf_dir)[0], "name", "kind", "parent_id")
+    left = hierarchy.last_by_id(estate(spark, sf_dir)[0], "name", "kind", "parent_id")
     right = left.filter("kind <> 'system'").withColumn("name", F.when(F.col("kind") == "person", F.concat("name", F.lit("!"))).otherwise(F.col("name")))
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("'estate' AS model_id", "concat('p:', CAST(p_partkey AS STRING)) AS id", "p_name AS name", "'system' AS kind", "CAST(NULL AS STRING) AS parent_id")
     return text.model_diff(left, right.unionByName(parts)).drop("model_id")

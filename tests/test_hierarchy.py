@@ -50,6 +50,49 @@ def test_random_hierarchies(spark, seed):
     assert {tuple(r) for r in hierarchy.below(elements, ids).collect()} == strict
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_numbers_depth_first(spark, seed):
+    """Forests with cycles and tails, missing parents, a parent with very many children; ids repeated."""
+    rnd = random.Random(seed)
+    rows = [("m", 500 - i, f"e{i}", rnd.choice([None, "", f"e{rnd.randrange(150)}", f"e{max(0, i - rnd.randrange(1, 4))}", "gone", "e3"])) for i in range(150)]
+    rows += [("n", i, f"e{i}", "e0" if i else None) for i in range(300)] + [("n", 1000, "e7", "e5"), ("o", 0, "a", "a")]
+    elements = spark.createDataFrame(rows, "model_id string, ord int, id string, parent_id string")
+    last = {}
+    for model, place, x, parent in sorted(rows, key=lambda r: r[1]):
+        last[model, x] = (place, parent)
+    children, tops = {}, {}
+    for (model, x), (place, parent) in last.items():
+        up = (model, parent) if (model, parent) in last else None
+        (children.setdefault(up, []) if up else tops.setdefault(model, [])).append((place, x))
+    want = set()
+
+    def number(model, x, depth, at):
+        entry, at = at, at + 1
+        for _, child in sorted(children.get((model, x), [])):
+            at = number(model, child, depth + 1, at)
+        want.add((model, x, depth, entry, at - 1))
+        return at
+
+    for model, found in tops.items():
+        at = 0
+        for _, x in sorted(found):
+            at = number(model, x, 0, at)
+    numbered = hierarchy.intervals(elements)
+    got = [tuple(r) for r in numbered.collect()]
+    assert set(got) == want and len(got) == len(want)
+    at = {(m, x): (a, b) for m, x, _, a, b in want}
+    pairs = [("m", f"e{rnd.randrange(150)}", rnd.choice([f"e{rnd.randrange(150)}", "gone", None])) for _ in range(300)] + [("n", "e5", "e7"), ("n", "e7", "e0"), ("n", "e7", "e7")]
+
+    def answer(m, x, y):
+        a, b = at.get((m, x)), at.get((m, y))
+        return None if not a or not b else "same" if a == b else "source" if a[0] < b[0] <= a[1] else "target" if b[0] < a[0] <= b[1] else "apart"
+
+    out = hierarchy.nesting(spark.createDataFrame(pairs, "model_id string, source_id string, target_id string"), numbered).collect()
+    assert sorted(map(repr, map(tuple, out))) == sorted(repr((*p, answer(*p))) for p in pairs)
+    assert {r.nesting for r in out} >= {"same", "source", "target", "apart", None}
+    assert hierarchy.intervals(elements.limit(0)).collect() == []
+
+
 def test_repeated_ids_and_empty_tables(spark):
     rows = [("m", 0, "a", "system", "A", None), ("m", 1, "a", "container", "B", "b"), ("m", 2, "b", "system", "C", None)]
     elements = spark.createDataFrame(rows, SCHEMA)
@@ -65,6 +108,8 @@ def test_a_chain_of_100_000(spark):
     wrong = hierarchy.system_ancestor(chain).filter(F.substring("system_id", 2, 9).cast("int") != F.floor(F.substring("id", 2, 9).cast("int") / 1000) * 1000)
     assert wrong.count() == 0
     assert hierarchy.cycles(chain).count() == 0
+    numbers = hierarchy.intervals(chain).filter(f"entry <> CAST(substring(id, 2) AS INT) OR depth <> entry OR exit <> {n - 1}")
+    assert numbers.count() == 0
     ring = chain.withColumn("parent_id", F.coalesce("parent_id", F.lit("e70000")))
     assert {r.on_cycle: r["count"] for r in hierarchy.cycles(ring).groupBy("on_cycle").count().collect()} == {True: 70_001, False: 29_999}
-    assert time.time() - began < 240
+    assert time.time() - began < 300
